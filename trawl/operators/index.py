@@ -1,0 +1,269 @@
+"""Text index and ranked, typo-tolerant search, as tables and joins.
+
+`Index.build` makes four frames: tokens (doc_id, field, pos, term), postings (term, doc_id, sat), terms (term, n_chars,
+df) and docs (one row a document with lengths, first word, prior and all stored columns). A batch of queries is a
+table; it is planned into weighted terms, joined with postings on the term, and ranked per query: typo bucket first,
+score second, document last. Queries are a stated set, so they are the side that is sent to all dictionary rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from trawl.functions import score as S
+from trawl.functions import text as T
+from trawl.plans import query as Q
+
+_WORDS = "query_id long, grp int, n_groups int, word string, kind string, budget int, typing boolean, first boolean"
+
+
+@dataclass(frozen=True)
+class Field:
+    name: str
+    boost: float = 1.0
+    b: float = 0.75
+
+
+@dataclass
+class Index:
+    fields: list[Field]
+    tokens: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    docs: DataFrame
+    aliases: dict[str, str] = field(default_factory=dict)
+    expansion: DataFrame | None = None
+
+    @staticmethod
+    def build(rows: DataFrame, fields: Iterable[Field], id_col: str, aliases: dict[str, str] | None = None, prior: str | None = None) -> Index:
+        """Indexes rows. Stored columns keep their names; id_col is also doc_id. A prior that isn't finite and positive is 1."""
+        fields, aliases = list(fields), aliases or {}
+        p = F.col(prior).cast("double") if prior else F.lit(1.0)
+        p = F.when((p > 0) & ~F.isnan(p) & (p < float("inf")), p).otherwise(1.0)
+        docs = rows.select("*", F.col(id_col).cast("long").alias("doc_id") if id_col != "doc_id" else F.lit(0).alias("_zero"), p.alias("_prior"), *(T.tokens(F.col(f.name), aliases).alias(f"_t{i}") for i, f in enumerate(fields))).drop("_zero")
+        docs = docs.withColumns({f"_len{i}": F.size(f"_t{i}") for i in range(len(fields))}).withColumn("_first", F.get("_t0", F.lit(0)))
+        stats = docs.agg(F.count("*").alias("n_docs"), F.max("_prior").alias("top"), *(F.greatest(F.lit(1.0), F.avg(f"_len{i}")).alias(f"avg{i}") for i in range(len(fields))))
+        lengths = [f"_len{i}" for i in range(len(fields))]
+        parts = [docs.select("doc_id", *lengths, F.lit(i).alias("field"), F.posexplode(f"_t{i}").alias("pos", "term")) for i in range(len(fields))]
+        tokens = parts[0]
+        for other in parts[1:]:
+            tokens = tokens.union(other)
+        counted = tokens.groupBy("term", "doc_id").agg(*(F.first(x).alias(x) for x in lengths), *(F.count(F.when(F.col("field") == i, 1)).alias(f"tf{i}") for i in range(len(fields))))
+        ptf = S.pseudo_tf([(F.col(f"tf{i}"), F.col(f"_len{i}"), F.col(f"avg{i}"), f.boost, f.b) for i, f in enumerate(fields)])
+        postings = counted.crossJoin(F.broadcast(stats)).select("term", "doc_id", S.saturate(ptf).alias("sat"))  # stats is one row
+        terms = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs"))).select("term", F.length("term").alias("n_chars"), "df", S.idf(F.col("n_docs"), F.col("df")).alias("idf"))
+        docs = docs.crossJoin(F.broadcast(stats.select("top"))).withColumn("_prior", F.col("_prior") / F.col("top")).drop("top", *(f"_t{i}" for i in range(len(fields))))
+        return Index(fields, tokens.select("doc_id", "field", "pos", "term"), postings, terms, docs, aliases)
+
+    def persist(self) -> Index:
+        """Keeps the tables, in memory or on the executors' disks, for a series of searches."""
+        for name in ("tokens", "postings", "terms", "docs"):
+            setattr(self, name, getattr(self, name).persist())
+        return self
+
+    def unpersist(self) -> None:
+        for df in (self.tokens, self.postings, self.terms, self.docs):
+            df.unpersist()
+
+    # planning
+
+    def words(self, queries: DataFrame, typing: bool = False, parsed: bool = True) -> DataFrame:
+        """One row for each word of each query (query_id, text), with its group, kind and typo budget."""
+        aliases = self.aliases
+
+        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for qid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if typing:
+                        own, last = Q.typeahead(text or "", aliases)
+                    else:
+                        own, last = (Q.parse(text or "", aliases).scoring() if parsed else Q.words(text, aliases)), False
+                    spare = Q.optional(own, last)
+                    for i, w in enumerate(own):
+                        sized = any(c in "0123456789" for c in w)
+                        budget = 0 if sized or len(w) <= 3 else 1 if len(w) <= 7 else 2
+                        kind = "size" if Q.quantity(w) else "connective" if spare[i] else "word"
+                        out.append((qid, i, len(own), w, kind, budget, last and i == len(own) - 1, i == 0))
+                cols = list(zip(*out, strict=True)) or [()] * 8
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _WORDS.split(", ")])
+
+        return queries.select(F.col("query_id").cast("long"), "text").mapInArrow(plan, _WORDS)
+
+    def expand(self, words: DataFrame, cap: int = S.EXPANSIONS) -> DataFrame:
+        """Dictionary terms of each word with their distance and weight, `cap` for each word by (distance, df, term).
+
+        An exact hit ends the search for a word that is not being typed. Without any hit, a word of four characters
+        or more may be two known words; its group then has both.
+        """
+        terms = self.terms
+        exact = words.filter("NOT typing").join(terms, F.col("word") == F.col("term")).select(*words.columns, "term", "df", "idf", F.lit(0).alias("dist"))
+        rest = words.filter("NOT typing AND budget > 0").join(terms.select(F.col("term").alias("word")), "word", "left_anti").select(*words.columns)
+        near = terms.join(F.broadcast(rest), (F.abs(F.col("n_chars") - F.length("word")) <= F.col("budget")) & F.expr("levenshtein(term, word, 4) BETWEEN 0 AND 2 * budget"))
+        near = near.withColumn("dist", S.edit_distance("term", "word")).filter("dist <= budget").select(*exact.columns)
+        ahead = terms.join(F.broadcast(words.filter("typing")), (F.col("n_chars") >= F.length("word") - F.col("budget")) & (F.col("term").startswith(F.col("word")) | ((F.col("budget") > 0) & (F.expr("levenshtein(left(term, length(word) + budget), word)") <= 3 * F.col("budget")))))
+        ahead = ahead.withColumn("dist", F.when(F.col("term").startswith(F.col("word")), 0).otherwise(S.prefix_distance("term", "word", "budget"))).filter("dist <= budget").select(*exact.columns)
+        found = exact.union(near).union(ahead)
+        lost = words.filter("length(word) >= 4 AND NOT typing AND word NOT RLIKE '[0-9]'").join(found.select("query_id", "grp").distinct(), ["query_id", "grp"], "left_anti").select(*words.columns)
+        cuts = lost.select("*", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("cut"))
+        halves = cuts.select("*", F.expr("left(word, cut)").alias("l"), F.expr("substring(word, cut + 1)").alias("r"))
+        left, right = (terms.select(F.col("term").alias(x), F.col("df").alias(f"df_{x}"), F.col("idf").alias(f"idf_{x}")) for x in "lr")
+        both = halves.join(left, "l").join(right, "r").withColumn("n", F.row_number().over(Window.partitionBy("query_id", "grp").orderBy(F.col("df_l") + F.col("df_r"), "cut"))).filter("n = 1")
+        split = both.select("*", F.explode(F.array(*(F.struct(F.col(x).alias("term"), F.col(f"df_{x}").alias("df"), F.col(f"idf_{x}").alias("idf"), F.lit(k).alias("k")) for k, x in enumerate("lr")))).alias("h"))
+        # the second half is a group of its own, numbered after the words
+        split = split.withColumn("grp", F.col("grp") + F.col("h.k") * 10_000).select(*words.columns, "h.term", "h.df", "h.idf", F.lit(0).alias("dist")).select(*exact.columns)
+        ranked = found.union(split).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "grp").orderBy("dist", "df", "term"))).filter(F.col("n") <= max(1, cap))
+        return ranked.withColumn("weight", F.col("idf") * F.pow(F.lit(S.TYPO_PENALTY), F.col("dist"))).drop("n")
+
+    # retrieval
+
+    def scored(self, queries: DataFrame, typing: bool = False, cap: int = S.EXPANSIONS, parsed: bool = True) -> DataFrame:
+        """query_id, doc_id, score, bucket and the stored columns of every document with a planned term of a query."""
+        words = self.words(queries, typing, parsed).persist()  # a few rows a query, used several times
+        plan = self.expand(words, cap).persist()
+        penalty = F.when(F.col("kind") == "size", S.MISSING_SIZE).when(F.col("kind") == "connective", S.MISSING_CONNECTIVE).otherwise(S.MISSING_WORD)
+        split = plan.filter("grp >= 10000").groupBy("query_id").agg(F.count("*").alias("more"))
+        totals = words.groupBy("query_id").agg(F.sum(penalty).alias("all_missing"), F.first("n_groups").alias("n_words"), F.first("typing").alias("_t"), F.bool_or("typing").alias("ahead")).join(split, "query_id", "left")
+        totals = totals.select("query_id", (F.col("all_missing") + F.coalesce("more", F.lit(0)) * S.MISSING_WORD).alias("all_missing"), (F.col("n_words") + F.coalesce("more", F.lit(0))).alias("groups"), "ahead")
+        hits = plan.join(self.postings, "term").select("query_id", "grp", "doc_id", "dist", penalty.alias("penalty"), (F.col("weight") * F.col("sat")).alias("part"))
+        by_group = hits.groupBy("query_id", "doc_id", "grp").agg(F.min("dist").alias("dist"), F.first("penalty").alias("penalty"), F.sum("part").alias("part"))
+        by_doc = by_group.groupBy("query_id", "doc_id").agg(F.sum(F.col("dist") - F.col("penalty")).alias("gain"), F.sum("part").alias("part"))
+        anchors = plan.filter("first AND grp < 10000").groupBy("query_id").agg(F.collect_set("term").alias("_anchors"))  # at most cap terms a query
+        out = by_doc.join(totals, "query_id").join(anchors, "query_id", "left").withColumn("bucket", F.col("gain") + F.col("all_missing")).join(self.docs, "doc_id")
+        exact = F.when((F.col("bucket") == 0) & (F.col("_len0") == F.col("groups")), 1.0).otherwise(S.NEAR_FIELD)
+        anchor = F.when(F.col("ahead") & (F.col("groups") >= 2) & ~F.coalesce(F.array_contains("_anchors", F.col("_first")), F.lit(False)), S.UNANCHORED).otherwise(1.0)
+        return out.withColumn("score", S.canon(F.col("part") * F.col("_prior") * anchor * exact)).drop("gain", "part", "all_missing", "groups", "ahead", "_anchors")
+
+    def search(self, queries: DataFrame, k: int, offset: int = 0, where: Column | None = None, typing: bool = False, cap: int = S.EXPANSIONS, parsed: bool = True, order: list[Column] | None = None) -> DataFrame:
+        """The best k documents of each query: query_id, rank, doc_id, score, bucket and the stored columns.
+
+        where: filters, applied before ranking, so pages are never short. order: sort by these instead; ties go by rank.
+        Phrases and exclusions of the query language are honoured if parsed.
+        """
+        hits = self.scored(queries, typing, cap, parsed)
+        if where is not None:
+            hits = hits.filter(where)
+        if parsed:
+            hits = self.obey(hits, queries)
+        by = [*(order or []), F.col("bucket"), F.col("score").desc(), F.col("doc_id")]
+        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by)))
+        return ranked.filter((F.col("rank") > offset) & (F.col("rank") <= offset + k))
+
+    def obey(self, hits: DataFrame, queries: DataFrame) -> DataFrame:
+        """Hits that have every phrase of their query and none of its exclusions."""
+        rows = self.clauses(queries)
+        phrases = rows.filter("kind = 'phrase'")
+        needed = phrases.groupBy("query_id").agg(F.count_distinct("clause").alias("needed"))
+        has = self.phrase_docs(phrases.select(F.concat_ws(":", "query_id", "clause").alias("phrase"), "query_id", "n", "i", "word")).groupBy("query_id", "doc_id").agg(F.count_distinct("phrase").alias("has"))
+        out = rows.filter("kind = 'exclude'").join(self.postings.select(F.col("term").alias("word"), "doc_id"), "word").select("query_id", "doc_id")
+        hits = hits.join(F.broadcast(needed), "query_id", "left").join(has, ["query_id", "doc_id"], "left").filter("needed IS NULL OR has = needed").drop("needed", "has")
+        return hits.join(out, ["query_id", "doc_id"], "left_anti")
+
+    def clauses(self, queries: DataFrame) -> DataFrame:
+        """query_id, clause, kind, n (words), i, word of every clause."""
+        aliases = self.aliases
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(q, c, kind, len(own), i, w) for q, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c, (kind, own) in enumerate(Q.clauses(text or "", aliases)) for i, w in enumerate(own)]
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["query_id", "clause", "kind", "n", "i", "word"])
+
+        return queries.select(F.col("query_id").cast("long"), "text").mapInArrow(run, "query_id long, clause int, kind string, n int, i int, word string")
+
+    def phrase_docs(self, phrases: DataFrame) -> DataFrame:
+        """phrase, query_id, doc_id where the words of a phrase (phrase, query_id, n, i, word) stand in order in one field.
+
+        Words are joined with tokens once; equal begins (position less index) with all n words are a match.
+        """
+        at = phrases.join(self.tokens, F.col("word") == F.col("term")).withColumn("begin", F.col("pos") - F.col("i"))
+        whole = at.groupBy("phrase", "query_id", "n", "doc_id", "field", "begin").agg(F.count("*").alias("have")).filter("have = n")
+        return whole.select("phrase", "query_id", "doc_id").distinct()
+
+    # counts and tallies
+
+    def count(self, queries: DataFrame, mode: str) -> DataFrame:
+        """query_id, n: documents with any (or all, or the phrase) of a query's exact words. Unknown words, none: 0."""
+        words = self.words(queries, parsed=False).select("query_id", F.col("grp").alias("i"), "word", "n_groups")
+        if mode == "phrase":
+            docs = self.phrase_docs(words.select(F.col("query_id").cast("string").alias("phrase"), "query_id", F.col("n_groups").alias("n"), "i", "word"))
+        else:
+            own = words.select("query_id", "word").distinct()
+            need = own.groupBy("query_id").agg(F.count("*").alias("need"))
+            docs = own.join(self.postings, F.col("word") == F.col("term")).groupBy("query_id", "doc_id").agg(F.count("*").alias("have")).join(F.broadcast(need), "query_id")
+            docs = docs if mode == "any" else docs.filter("have = need")
+        return queries.select(F.col("query_id").cast("long")).join(docs.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def matching(self, queries: DataFrame) -> DataFrame:
+        """query_id and stored columns of all documents with a planned term, typos included."""
+        plan = self.expand(self.words(queries, parsed=False)).select("query_id", "term").distinct()
+        return plan.join(self.postings, "term").select("query_id", "doc_id").distinct().join(self.docs, "doc_id")
+
+    def facet_tally(self, queries: DataFrame, facet: str) -> DataFrame:
+        """query_id, label, n over all matches; documents without a label are left out."""
+        label = F.trim(F.col(facet).cast("string"))
+        return self.matching(queries).withColumn("label", label).filter("label <> ''").groupBy("query_id", "label").agg(F.count("*").alias("n"))
+
+    def range_tally(self, queries: DataFrame, number: str, edges: list[float]) -> DataFrame:
+        """query_id, bin, n for the half-open bins between the edges; zero where nothing falls, values outside left out."""
+        v = F.col(number).cast("double")
+        which = F.lit(None).cast("int")
+        for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+            which = F.when((v >= lo) & (v < hi), i).otherwise(which)
+        counted = self.matching(queries).withColumn("bin", which).filter("bin IS NOT NULL").groupBy("query_id", "bin").agg(F.count("*").alias("n"))
+        bins = queries.select(F.col("query_id").cast("long"), F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2))).alias("bin"))
+        return bins.join(counted, ["query_id", "bin"], "left").select("query_id", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def learned(self, facet: str, field_no: int = 0, top: int = 8) -> DataFrame:
+        """value, term, lift: words that a facet's documents have more often than others, less the value's own words."""
+        members = self.docs.select("doc_id", F.trim(F.col(facet)).alias("value")).filter("value <> ''")
+        inside = self.tokens.filter(F.col("field") == field_no).select("doc_id", "term").distinct().join(members, "doc_id").groupBy("value", "term").agg(F.count("*").alias("n"))
+        sizes = members.groupBy("value").agg(F.count("*").alias("size"))
+        total = self.docs.agg(F.count("*").alias("total"))
+        rows = inside.join(sizes, "value").join(self.terms.select("term", "df"), "term").crossJoin(F.broadcast(total))  # total is one row
+        rows = rows.filter(F.col("n") >= F.greatest(F.lit(2), F.least(F.lit(5), F.floor(F.col("size") / 4))))
+        rows = rows.withColumn("lift", F.round((F.col("n") / F.col("size")) / (F.col("df") / F.col("total") + 1e-9), 9))
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("value").orderBy(F.col("lift").desc(), "term"))).filter(F.col("rank") <= top)
+        return ranked.filter(~F.array_contains(T.tokens(F.col("value")), F.col("term"))).select("value", "term", "lift")
+
+    def promote(self, hits: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
+        """Hits with a live row whose key is the raw query put first (score 0 and bucket 0 if it wasn't a hit)."""
+        named = queries.select(F.col("query_id").cast("long"), "text").join(self.docs.select("doc_id", F.trim(F.col(key)).alias("_key")), F.col("text") == F.col("_key")).groupBy("query_id").agg(F.max("doc_id").alias("doc_id"))
+        base = hits.select("query_id", "doc_id", "score", F.col("bucket").cast("long").alias("bucket"), F.col("rank").cast("long").alias("rank"))
+        lead = named.join(base, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("bucket", F.lit(0).cast("long")).alias("bucket"), F.lit(0).cast("long").alias("rank"))
+        both = lead.unionByName(base.join(named, ["query_id", "doc_id"], "left_anti"))
+        return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
+
+
+def facet_clause(column: str, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> Column:
+    """Values to include are alternatives and drop missing ones; values to exclude keep them."""
+    out, include, exclude = F.lit(True), list(include), list(exclude)
+    if include:
+        out = out & F.coalesce(F.col(column).isin(include), F.lit(False))
+    return out & ~F.coalesce(F.col(column).isin(exclude), F.lit(False)) if exclude else out
+
+
+def in_range(column: str, lo: float, hi: float) -> Column:
+    """lo <= value < hi; missing values are left out."""
+    v = F.col(column).cast("double")
+    return F.coalesce((v >= lo) & (v < hi) & ~F.isnan(v), F.lit(False))
+
+
+def highlight(text: str, terms: set[str]) -> list[tuple[int, int]]:
+    """Character ranges of the words of a text that are among the terms; ranges that touch are one."""
+    out: list[tuple[int, int]] = []
+    import regex
+
+    for found in regex.finditer(r"[\p{Alphabetic}\p{N}]+(?:(?<=[0-9])[.,-](?=[0-9])[\p{Alphabetic}\p{N}]+)*", text):
+        if set(Q.words(found[0])) & terms:
+            if out and out[-1][1] == found.start():
+                out[-1] = (out[-1][0], found.end())
+            else:
+                out.append((found.start(), found.end()))
+    return out

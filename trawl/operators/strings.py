@@ -1,0 +1,93 @@
+"""Substring counts and places, exact and with mismatches, and operators over labelled and sequenced rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def places(text: Column, pattern: str) -> Column:
+    """All places (from 0, overlapping ones too) of a pattern in a text, ascending; none for an empty pattern or a null."""
+    n = len(pattern)
+    text = F.coalesce(text, F.lit(""))
+    starts = F.sequence(F.lit(0), F.length(text) - n)
+    found = F.filter(starts, lambda i: F.substring(text, i + 1, F.lit(n)) == pattern)
+    return F.when((F.lit(n) > 0) & F.contains(text, F.lit(pattern)), found).otherwise(F.array().cast("array<int>"))
+
+
+def count(text: Column, pattern: str) -> Column:
+    return F.size(places(text, pattern))
+
+
+def mismatches(a: Column, pattern: str) -> Column:
+    out = F.lit(0)
+    for i, c in enumerate(pattern):
+        out = out + (F.substring(a, i + 1, 1) != c).cast("int")
+    return out
+
+
+def places_within(text: Column, pattern: str, k: int) -> Column:
+    """Places at which the pattern stands with at most k characters replaced."""
+    n = len(pattern)
+    text = F.coalesce(text, F.lit(""))
+    starts = F.sequence(F.lit(0), F.length(text) - n)
+    found = F.filter(starts, lambda i: mismatches(F.substring(text, i + 1, F.lit(n)), pattern) <= k)
+    return F.when((F.lit(n) > 0) & (F.length(text) >= n), found).otherwise(F.array().cast("array<int>"))
+
+
+def label_vote(hits: DataFrame, label: str) -> DataFrame:
+    """query_id, label, share: the most frequent label of each query's hits; ties go by label."""
+    votes = hits.groupBy("query_id", label).agg(F.count("*").alias("n"))
+    ranked = votes.withColumn("all", F.sum("n").over(Window.partitionBy("query_id"))).withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n").desc(), label)))
+    return ranked.filter("at = 1").select("query_id", F.col(label).alias("label"), F.round(F.col("n") / F.col("all"), 9).alias("share"))
+
+
+def ndcg(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """query_id, ndcg of the first k ranks with gain 1 for relevant (query_id, doc_id)."""
+    got = ranked.filter(F.col("rank") <= k).join(relevant.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    best = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n")).withColumn("ideal", F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1)))
+    return best.join(got, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 9).alias("ndcg"))
+
+
+def shot_spans(scores: DataFrame, threshold: float, duration: Column, least: float = 0.25) -> DataFrame:
+    """video, start, end of shots: a score over the threshold begins one, shots have a least length, a short tail joins the last.
+
+    The rule looks back at the last cut, so a video's scores are read in order by one task; videos are spread.
+    """
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t")
+        end = float(frame["duration"].iloc[0])
+        cuts = [0.0]
+        for t, s in zip(frame["t"], frame["score"], strict=True):
+            if s > threshold and t > 0 and t - cuts[-1] >= least and t < end:
+                cuts.append(float(t))
+        if len(cuts) > 1 and end - cuts[-1] < least:
+            cuts.pop()
+        return pd.DataFrame({"video": frame["video"].iloc[0], "start": cuts, "end": [*cuts[1:], end]})
+
+    return scores.withColumn("duration", duration).groupBy("video").applyInPandas(cut, "video long, start double, end double")
+
+
+def hash_overlap(hashes: DataFrame, radius: int) -> DataFrame:
+    """a, b, share of a's hashes (item, hash long) that are within `radius` bits of a hash of b, stronger direction first.
+
+    Hashes meet on bytes: within a radius under 8, two of them share at least one of their 8 bytes.
+    """
+    if not 0 <= radius < 8:
+        raise ValueError("the radius is 0 to 7 bits")
+    own = hashes.select("item", "hash").distinct()
+    keyed = own.select("item", "hash", F.posexplode(F.array(*(F.shiftrightunsigned("hash", 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(8)))).alias("at", "byte"))
+    other = keyed.select(F.col("item").alias("b"), F.col("hash").alias("h"), "at", "byte")
+    near = keyed.join(other, ["at", "byte"]).filter((F.col("item") != F.col("b")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))) <= radius))
+    met = near.select("item", "hash", "b").distinct().groupBy("item", "b").agg(F.count("*").alias("met"))
+    sizes = own.groupBy("item").agg(F.count("*").alias("size"))
+    return met.join(sizes, "item").select(F.col("item").alias("a"), "b", F.round(F.col("met") / F.col("size"), 9).alias("share")).orderBy(F.col("share").desc(), "a", "b")
+
+
+def batches_of(rows: list, size: int) -> Iterator[list]:
+    for at in range(0, len(rows), size):
+        yield rows[at : at + size]
