@@ -19,7 +19,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import U64, mix
@@ -27,6 +28,8 @@ from ._components import connected_components
 from ._pack import pack_steps, unpack_steps
 from ._spark import cut
 
+#: The low bits of a key say which of a signature's keys it is.
+TAGS = 7
 BIG = 2048
 NEAREST = 2
 #: The bitmap of colliding items has 8 to 16 bits for each, within these bounds (128 KB and 32 MB).
@@ -74,8 +77,9 @@ def _key_rows(keys: Callable[[np.ndarray], np.ndarray], groups: int, width: int,
                 if with_prefix:
                     made = mix(made ^ (part.column("g").to_numpy().view(U64) * U64(0x9E3779B97F4A7C15))[:, None])
                 of = np.repeat(ids, made.shape[1])
-                made = made.ravel()
-                pid = (made % U64(groups)).astype(np.uint32)
+                tags = np.arange(made.shape[1], dtype=np.uint64)
+                made = (made >> U64(TAGS) << U64(TAGS) | tags).ravel()
+                pid = ((made >> U64(TAGS)) % U64(groups)).astype(np.uint32)
                 order = np.argsort(pid.astype(np.uint16) if groups <= 1 << 16 else pid, kind="stable")
                 pid, made, of = pid[order], made[order], of[order]
                 cuts = np.flatnonzero(np.diff(pid, prepend=pid[0] + 1))
@@ -93,7 +97,9 @@ def _key_rows(keys: Callable[[np.ndarray], np.ndarray], groups: int, width: int,
 
 
 def _collide(group: pa.Table) -> pa.Table:
-    """Items on one key: (null, a, b, 2) for two of them, (group, a, null, members) for each of more."""
+    """Items on one key: (null, a, b, 2, null) for two of them. For each of more: (name, a, null, members, null), where the
+    name stands for the members, once for all keys with the same ones; and (key, a, null, members, tag).
+    """
     keys = np.concatenate([np.frombuffer(x, U64) for x in group.column("keys").to_pylist()])
     ids = np.concatenate([unpack_steps(x, np.int64) for x in group.column("ids").to_pylist()])
     order = np.argsort(keys)
@@ -109,13 +115,16 @@ def _collide(group: pa.Table) -> pa.Table:
     two = edges[counts == 2]
     pairs = np.unique(np.stack([ids[two], ids[two + 1]], 1), axis=0) if len(two) else np.zeros((0, 2), np.int64)
     more, size = edges[counts > 2], counts[counts > 2]
-    g, members, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    g, members, n, tag = (np.zeros(0, np.int64) for _ in range(4))
     if len(more):
+        at = np.repeat(more - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        keyed = keys[at].view(np.int64), ids[at], np.repeat(size, size), (keys[at] & U64((1 << TAGS) - 1)).astype(np.int64)
         name = mix(np.add.reduceat(mix(ids.view(U64) + U64(1)), edges) + counts.astype(U64))[counts > 2]
         _, once = np.unique(name, return_index=True)
         more, size, name = more[once], size[once], name[once]
         at = np.repeat(more - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        g, members, n = np.repeat(name, size).view(np.int64), ids[at], np.repeat(size, size)
+        named = np.repeat(name, size).view(np.int64), ids[at], np.repeat(size, size), np.full(len(at), -1)
+        g, members, n, tag = (np.concatenate(x) for x in zip(named, keyed, strict=True))
     none = pa.nulls(len(pairs), pa.int64())
     return pa.table(
         {
@@ -123,17 +132,21 @@ def _collide(group: pa.Table) -> pa.Table:
             "a": pa.array(np.concatenate([pairs[:, 0], members])),
             "b": pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(g), pa.int64())]),
             "n": pa.array(np.concatenate([np.full(len(pairs), 2), n]).astype(np.int64)),
+            "tag": pa.array(np.concatenate([np.full(len(pairs), -1), tag]).astype(np.int64)),
         }
     )
 
 
-def _propose(width: int, most: int, ratio: tuple[int, int], nearest: bool):
-    """Candidate pairs (a < b) of the groups in a block: the nearest earlier members of each, or all pairs of different labels."""
+def _propose(width: int, most: int, ratio: tuple[int, int], first_tag: Callable[[np.ndarray], np.ndarray] | None):
+    """Candidate pairs (a < b) of the groups in a block: the nearest earlier members of each. With first_tag, all pairs
+    of different labels, each on the first key only that it has in common (where the group is of one key).
+    """
+    nearest = first_tag is None
 
     def propose(table: pa.Table) -> pa.Table:
         table = table.sort_by([("g", "ascending"), ("id", "ascending")])
         g, ids, size = (table.column(k).to_numpy() for k in ("g", "id", "size"))
-        label = table.column("label").to_numpy()
+        label, tag = table.column("label").to_numpy(), table.column("tag").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, width).astype(np.uint8)
         edges = np.flatnonzero(np.concatenate([[True], np.diff(g) != 0])) if len(g) else np.zeros(0, np.int64)
         left, right = [], []
@@ -155,8 +168,15 @@ def _propose(width: int, most: int, ratio: tuple[int, int], nearest: bool):
                         far[np.arange(len(best)), best] = 60_000
                 else:
                     rows, cols = np.nonzero(ok & (label[at:to, None] != label[None, lo:to]))
-                    left.append(ids[lo + cols])
-                    right.append(ids[at + rows])
+                    if tag[lo] >= 0:
+                        for k in range(0, len(rows), 4096):
+                            x, y = rows[k : k + 4096], cols[k : k + 4096]
+                            own = first_tag(sig[at + x] != sig[lo + y]) == tag[lo]
+                            left.append(ids[lo + y[own]])
+                            right.append(ids[at + x[own]])
+                    else:
+                        left.append(ids[lo + cols])
+                        right.append(ids[at + rows])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), np.int64)
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
@@ -167,9 +187,8 @@ def _confirm(ratio: tuple[int, int], to_set: Callable[[bytes], np.ndarray]):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = to_set(x), to_set(y)
-                both = np.concatenate([x, y])
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                both = np.concatenate([to_set(x.as_py()), to_set(y.as_py())])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(ratio[1] * shared >= ratio[0] * (len(both) - shared))
@@ -178,36 +197,44 @@ def _confirm(ratio: tuple[int, int], to_set: Callable[[bytes], np.ndarray]):
     return confirm
 
 
-def _slot(bits: int):
-    """Where an id is in the bitmap; bit_of has the same rule."""
-    return F.pmod(F.xxhash64("id"), F.lit(bits))
-
-
-def filtered(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is among the ids, and perhaps a few more: a bitmap of the ids, of bounded size, is broadcast."""
+def bitmap(ids: DataFrame, slot: Callable[[int], Column]) -> tuple[Broadcast, int]:
+    """A broadcast of packed bits with the slots of all ids (column id) set, and how many bits; MOST_BITS bounds it."""
     n = max(1, ids.count())
     bits = min(max(LEAST_BITS, 1 << (8 * n).bit_length()), MOST_BITS)
     page = 1 << 15
-    slots = ids.select(_slot(bits).alias("s")).select(F.expr(f"s div {page}").alias("page"), (F.col("s") % page).alias("s"))
+    slots = ids.select(slot(bits).alias("s")).select(F.expr(f"s div {page}").alias("page"), (F.col("s") % page).alias("s"))
     out = np.zeros(bits // 8, np.uint8)
     for number, data in slots.groupBy("page").agg(F.expr("bitmap_construct_agg(s)").alias("bits")).collect():
         out[number * page // 8 : (number + 1) * page // 8] = np.frombuffer(data, np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(out)
+    return ids.sparkSession.sparkContext.broadcast(out), bits
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = held.value
-        for batch in batches:
-            at = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
-    asked = rows.withColumn("slot", _slot(bits))
-    return asked.mapInArrow(test, asked.schema).drop("slot")
+def is_set(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def filtered(rows: DataFrame, ids: DataFrame, make: Callable, kind: str) -> DataFrame:
+    """make (batches to batches of `kind`) over the rows whose id is among the ids, and perhaps a few more.
+
+    Both steps run in one Python worker.
+    """
+
+    def slot(bits: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(bits))
+
+    held, bits = bitmap(ids, slot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return make(b.filter(pa.array(is_set(held.value, b.column("slot").to_numpy()))) for b in batches)
+
+    return rows.withColumn("slot", slot(bits)).mapInArrow(run, kind)
 
 
 def similar_components(
     items: DataFrame,
     keys: Callable[[np.ndarray], np.ndarray],
     keys_again: Callable[[np.ndarray], np.ndarray],
+    first_tag: Callable[[np.ndarray], np.ndarray],
     sets: Callable[[DataFrame], DataFrame],
     width: int,
     most: int,
@@ -218,41 +245,50 @@ def similar_components(
     """id, label (the least id of its component) of every item that has a confirmed link.
 
     items: id long, size int, sig binary (width 16-bit values), a written table; rows that repeat an id are equal.
-    keys, keys_again: (n, width) values to (n, k) keys, from independent parts. most: signature distance bound.
+    keys, keys_again: (n, width) values to (n, k) keys, k <= 128, from independent parts. first_tag: (pairs, width)
+    differences to the first of `keys` that each pair has in common, -1 for none. most: signature distance bound.
     sets: ids (column id) to one row each (id, hashes binary), perhaps with more ids. to_set makes of those bytes the
     ascending 64-bit hashes of the set.
     ratio: (85, 100) links items with 100 * intersection >= 85 * union.
     """
-    hit = "g long, a long, b long, n long"
+    # tag: 0 and up for the group of one key, -1 for a group named by its members, -2 for what a large group is split into
+    hit = "g long, a long, b long, n long, tag long"
     found = items.mapInArrow(_key_rows(keys, groups, width, False), "pid int, keys binary, ids binary").groupBy("pid").applyInArrow(_collide, hit)
     found = cut(found.distinct())
-    big = found.filter(F.col("n") > BIG)
+    big = found.filter((F.col("n") > BIG) & (F.col("tag") < 0))
     if big.limit(1).count():
         again = big.select("g", F.col("a").alias("id")).join(items, "id").select("g", "id", "sig")
         again = again.mapInArrow(_key_rows(keys_again, groups, width, True), "pid int, keys binary, ids binary").groupBy("pid").applyInArrow(_collide, hit)
-        found = cut(found.filter(F.col("n") <= BIG).union(again).distinct())
+        found = cut(found.filter(F.col("n") <= BIG).union(again.filter("tag < 0 OR b IS NOT NULL").withColumn("tag", F.when(F.col("b").isNull(), F.lit(-2)).otherwise(-1).cast("long"))).distinct())
     tiles = F.ceil(F.col("n") / F.lit(BIG)).cast("int")
-    members = found.filter("g IS NOT NULL").withColumn("t", tiles).withColumn("i", F.pmod(F.xxhash64("a"), F.col("t")).cast("int"))
-    members = members.select("g", "a", "i", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("j"))
-    members = members.select(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("g")).otherwise(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j"))).alias("g"), F.col("a").alias("id"))
+    members = found.filter(F.col("g").isNotNull() & ((F.col("tag") < 0) | (F.col("n") <= BIG))).withColumn("t", tiles).withColumn("i", F.pmod(F.xxhash64("a"), F.col("t")).cast("int"))
+    members = members.select("g", "a", "n", "tag", "i", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("j"))
+    members = members.select(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("g")).otherwise(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j"))).alias("g"), F.col("a").alias("id"), F.when(F.col("n") <= BIG, F.col("tag")).otherwise(-2).alias("tag"))
     pairs = found.filter("g IS NULL").select("a", "b").distinct()
     ids = found.selectExpr("explode(array(a, b)) id").filter("id IS NOT NULL").distinct()
     held = cut(sets(ids))
 
-    def proposed(groups_of: DataFrame, nearest: bool) -> DataFrame:
-        blocks = groups_of.join(items, "id").select(F.pmod(F.xxhash64("g"), F.lit(groups)).cast("int").alias("p"), "g", "id", "size", "sig", "label")
-        return blocks.groupBy("p").applyInArrow(_propose(width, most, ratio, nearest), "a long, b long").distinct()
+    def proposed(groups_of: DataFrame, tag: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+        blocks = groups_of.join(items, "id").select(F.pmod(F.xxhash64("g"), F.lit(groups)).cast("int").alias("p"), "g", "id", "size", "sig", "label", "tag")
+        return blocks.groupBy("p").applyInArrow(_propose(width, most, ratio, tag), "a long, b long").distinct()
 
     def confirmed(candidates: DataFrame) -> DataFrame:
+        # the end with more candidates comes first, so that pairs are confirmed by their other end and a hub is spread
+        degrees = candidates.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+        both = candidates.join(degrees.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degrees.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+        swap = F.col("db") > F.col("da")
+        candidates = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
         one = candidates.join(held.select(F.col("id").alias("a"), F.col("hashes").alias("sa")), "a")
         two = one.join(held.select(F.col("id").alias("b"), F.col("hashes").alias("sb")), "b")
         return cut(two.mapInArrow(_confirm(ratio, to_set), "a long, b long"))
 
-    links = confirmed(pairs.union(proposed(members.withColumn("label", F.lit(0).cast("long")), True)).distinct())
+    links = confirmed(cut(pairs.union(proposed(members.filter("tag < 0").withColumn("label", F.lit(0).cast("long")), None)).distinct()))
     if not members.limit(1).count():
         return connected_components(links)
     labels = cut(connected_components(links))
-    named = members.join(labels, "id", "left").select("g", "id", F.coalesce("label", "id").alias("label"))
+    # small groups are looked at by their keys now, so that a pair is formed on one key only
+    named = members.filter("tag <> -1")
+    named = named.join(labels, "id", "left").select("g", "id", "tag", F.coalesce("label", "id").alias("label"))
     split = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("g").alias("og"))
-    rest = confirmed(proposed(named.join(split, F.col("g") == F.col("og")).select("g", "id", "label"), False))
+    rest = confirmed(cut(proposed(named.join(split, F.col("g") == F.col("og")).select("g", "id", "label", "tag"), first_tag)))
     return connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(rest))

@@ -153,7 +153,7 @@ def write_store(docs: DataFrame, path: str, out: str, end_id: int | None = None,
     place = F.when(F.col("kind") == "doc", F.xxhash64("id", "key")).otherwise(F.xxhash64("key")).alias("place")
     dealt = rows.withColumn("place", place).repartition(parts, "place").drop("place")
     dealt.mapInArrow(_unique, _DDL).write.option("compression", "zstd").partitionBy("kind").parquet(f"{out}/parts")
-    docs_part = spark.read.parquet(f"{out}/parts").filter("kind = 'doc'").select("id", "n", "digests", "sizes")
+    docs_part = spark.read.schema(_DDL).parquet(f"{out}/parts").filter("kind = 'doc'").select("id", "n", "digests", "sizes")
     ranged = cut(docs_part.repartitionByRange(max(1, parts // 2), "id").sortWithinPartitions("id", "digests").withColumn("shard", F.spark_partition_id()))
     totals = ranged.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("docs")).orderBy("shard").collect()  # one row a shard
     starts, at, row = {}, 0, 0
@@ -219,7 +219,7 @@ def verify(spark: SparkSession, out: str) -> DataFrame:
 
     ids_crc32 is over the ids as little-endian 32-bit integers.
     """
-    parts = spark.read.parquet(f"{out}/parts").filter("kind = 'chunk'").select("key", "data")
+    parts = spark.read.schema(_DDL).parquet(f"{out}/parts").filter("kind = 'chunk'").select("key", "data")
     recipes = spark.read.parquet(f"{out}/recipes")
     wrong = _manifest(recipes).select("shard", "root").exceptAll(spark.read.parquet(f"{out}/manifest").select("shard", "root"))
     if wrong.limit(1).count():
@@ -269,7 +269,7 @@ def verify(spark: SparkSession, out: str) -> DataFrame:
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, ids array<int> of each stored document, put together from its chunks."""
     recipes = spark.read.parquet(f"{out}/recipes")
-    parts = spark.read.parquet(f"{out}/parts").filter("kind = 'chunk'").select("key", "data")
+    parts = spark.read.schema(_DDL).parquet(f"{out}/parts").filter("kind = 'chunk'").select("key", "data")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,7 +38,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in A.blocks(batches, max_bytes=2 * A.BLOCK_BYTES):
+    for block in A.blocks(batches, max_bytes=4 * A.BLOCK_BYTES):
         words, first = words_of(block.column("text"))
         coded = words.dictionary_encode()
         index, terms = coded.indices.to_numpy().astype(np.uint64), coded.dictionary

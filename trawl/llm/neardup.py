@@ -24,6 +24,8 @@ from ._simjoin import filtered, key_of, permuted_minima, similar_components
 from ._spark import cut, groups_for
 
 CHUNK, ERRORS = 5, 1
+#: Values of a signature: those of the keys, those that split large groups, and more for a sharp distance bound.
+WIDTH = 256
 
 
 def distance_plan(percent: int, miss: float = 2e-5) -> tuple[int, int]:
@@ -55,6 +57,22 @@ def _keys(chunks: int, at: int):
     return keys
 
 
+def _first_tag(chunks: int):
+    masks = list(combinations(range(CHUNK), CHUNK - ERRORS))
+    without = np.array([next(i for i, m in enumerate(masks) if p not in m) for p in range(CHUNK)])
+
+    def first(differ: np.ndarray) -> np.ndarray:
+        parts = differ[:, : chunks * CHUNK].reshape(-1, chunks, CHUNK)
+        wrong = parts.sum(2)
+        ok = wrong <= ERRORS
+        c = ok.argmax(1)
+        row = np.arange(len(c))
+        mask = np.where(wrong[row, c] == 0, 0, without[parts[row, c].argmax(1)])
+        return np.where(ok[row, c], c * len(masks) + mask, -1)
+
+    return first
+
+
 def shingles(block: pa.RecordBatch, size: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word shingles of each text, repeated ones too, and where each text's begin.
 
@@ -119,7 +137,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     any of its texts is linked with, and each of its rows has the same verdict.
     """
     chunks, bound = distance_plan(percent)
-    width = 2 * CHUNK * chunks
+    width = max(2 * CHUNK * chunks, WIDTH)
     most = tail_bound(width, 1 - percent / 100, 1e-6)
     groups = groups_for(docs, 8 << 20, text_col)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -133,10 +151,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     linked = some.select("id", "class").join(copies, F.col("class") == F.col("c")).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     def sets(ids: DataFrame) -> DataFrame:
-        asked = filtered(read.filter("id IS NOT NULL"), ids)
-        return asked.mapInArrow(_setter(shingle), "id long, hashes binary").dropDuplicates(["id"])
+        return filtered(read.filter("id IS NOT NULL"), ids, _setter(shingle), "id long, hashes binary").dropDuplicates(["id"])
 
-    labels = similar_components(items, _keys(chunks, 0), _keys(chunks, CHUNK * chunks), sets, width, most, (percent, 100), groups)
+    labels = similar_components(items, _keys(chunks, 0), _keys(chunks, CHUNK * chunks), _first_tag(chunks), sets, width, most, (percent, 100), groups)
     whole = cut(labels)
     # copies take the label of their class's representative
     named = linked.join(whole, F.col("b") == F.col("id"), "left").select(F.col("a").alias("mid"), F.coalesce("label", "b").alias("l"))

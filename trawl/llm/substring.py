@@ -40,7 +40,7 @@ def _windows(words: np.ndarray, first: np.ndarray, window: int, groups: int):
 
 def _shipper(window: int, groups: int):
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in A.blocks(batches, max_bytes=2 * A.BLOCK_BYTES):
+        for block in A.blocks(batches, max_bytes=3 * A.BLOCK_BYTES):
             ids = block.column("id").to_numpy(zero_copy_only=False)
             if len(ids) > 1 and (np.diff(ids) < 0).any():
                 order = np.argsort(ids, kind="stable")

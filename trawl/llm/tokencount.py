@@ -27,7 +27,7 @@ _ROWS = "pid int, block long, words binary, at binary, freq binary, doc binary"
 def _split(path: str, groups: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = rules(path)
-        for part in A.blocks(batches, max_bytes=2 * A.BLOCK_BYTES):
+        for part in A.blocks(batches, max_bytes=4 * A.BLOCK_BYTES):
             block = secrets.randbits(63)
             index, first, distinct = pretokens(part.column("text"), own)
             n = len(distinct)
