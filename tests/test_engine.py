@@ -84,20 +84,19 @@ def test_fusion(spark):
 
 
 def test_row_sources(spark, tmp_path):
-    head, data = ["sku", "name", "price"], [["A-1", 'Tooth "paste", big', "119.5"], ["A-2", "two\nlines", ""]]
+    data = [["A-1", 'Tooth "paste", big', "119.5"], ["A-2", "two\nlines", ""]]
     (tmp_path / "x.csv").write_text("sku,name,price\n" + 'A-1,"Tooth ""paste"", big",119.5\nA-2,"two\nlines",\n')
     assert [list(r) for r in rows.read_csv(spark, str(tmp_path / "x.csv")).collect()] == [data[0], [*data[1][:2], None]]
     (tmp_path / "x.tsv").write_text('sku\tname\nA-1\t"raw\n')
     assert rows.read_tsv(spark, str(tmp_path / "x.tsv")).first().name == '"raw'
     (tmp_path / "x.jsonl").write_text('{"a": {"b": 1.50, "n": null}, "l": [1, {"x": 2}], "s": "t"}\n\n')
-    assert rows.read_jsonl(spark, str(tmp_path / "x.jsonl")).first().row == {"a.b": "1.50", "l": '["1",{"x":"2"}]', "s": "t"} or True
+    assert rows.read_jsonl(spark, str(tmp_path / "x.jsonl")).first().row == {"a.b": "1.50", "l": '[1,{"x":2}]', "s": "t"}
     sql = "-- c\nCREATE TABLE x (a int);\nINSERT INTO public.\"item\" (sku, name) VALUES ('A-1', 'it''s'), ('A-2', NULL) ON CONFLICT DO NOTHING;\nCOPY item (sku, name) FROM stdin;\nB-1\ttab\\there\nB-2\t\\N\n\\.\nINSERT INTO other VALUES (1, now(), 2::numeric(3,1));\n"
     (tmp_path / "x.sql").write_text(sql)
     got = rows.read_sql_dump(spark, str(tmp_path / "x.sql"), ["ITEM"]).collect()
     assert [r.row for r in got] == [{"sku": "A-1", "name": "it's"}, {"sku": "A-2"}, {"sku": "B-1", "name": "tab\there"}, {"sku": "B-2"}]
     assert list(rows.dump_rows(sql))[-1] == ("other", {"c0": "1", "c1": "now()", "c2": "2"})
     assert rows.schema_of("sku:0:0.6,name:3") == [("sku", 0.0, 0.6), ("name", 3.0, 0.75)]
-    assert head
 
 
 def test_change_stream_equals_rebuild(spark, tmp_path):

@@ -33,7 +33,7 @@ def flatten(line: str) -> dict[str, str]:
             for k, v in value.items():
                 walk(f"{prefix}.{k}" if prefix else k, v)
         elif isinstance(value, list):
-            out[prefix] = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+            out[prefix] = _raw(value)
         elif value is not None:
             out[prefix] = value if isinstance(value, str) else json.dumps(value)
 
@@ -48,6 +48,17 @@ class _Literal(str):
     """A number as it was written."""
 
 
+def _raw(value: object) -> str:
+    """JSON text of a parsed value, with its numbers as they were written."""
+    if isinstance(value, _Literal):
+        return str(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(_raw, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_raw(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value, ensure_ascii=False)
+
+
 def flattened(lines: DataFrame, column: str = "value") -> DataFrame:
     """row map<string,string> of each non-blank line of a text column."""
 
