@@ -80,7 +80,7 @@ def phash(rgb: np.ndarray) -> int:
         return 0
     low = dct(cells)[:8, :8].copy()
     middle = np.median(low.ravel()[1:])
-    flags = low > middle
+    flags = low > middle + 1e-6  # frequencies that a picture lacks are rounding noise about 0
     flags[0, 0] = False
     return _bits(flags)
 
@@ -91,7 +91,7 @@ def pdq(rgb: np.ndarray) -> list[int]:
     if np.ptp(cells) < 1e-6:
         return [0] * 4
     low = dct(cells)[1:17, 1:17]
-    flags = (low > np.median(low)).ravel()
+    flags = (low > np.median(low) + 1e-6).ravel()
     return [_bits(flags[i * 64 : (i + 1) * 64]) for i in range(4)]
 
 
