@@ -10,12 +10,15 @@ keys of a signature and in where the sets come from. What is common:
 * In a group, each member first proposes its nearest earlier members. These are confirmed and linked; then all
   pairs under the distance bound that are still in different components are confirmed as well. A crowd of near
   copies is thus linked by a few edges each, and only pairs whose answer matters are formed.
+* Before that second step, members of groups with several components get a longer sketch of 4-bit values. A pair
+  must be under its distance bound too, so that a crowd of texts just short of the threshold makes few pairs.
 * Sets are made for items that collide, found again by a bitmap of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,18 @@ BIG = 2048
 NEAREST = 2
 #: The bitmap of colliding items has 8 to 16 bits for each, within these bounds (128 KB and 32 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: How many of the two 4-bit values of a byte differ, by the exclusive or of two bytes.
+UNEQUAL = np.array([(x > 15) + (x % 16 > 0) for x in range(256)], np.uint8)
+
+
+def tail_bound(n: int, p: float, miss: float) -> int:
+    """The least d with P(Binomial(n, p) > d) <= miss."""
+    left = 1.0
+    for d in range(n + 1):
+        left -= exp(lgamma(n + 1) - lgamma(d + 1) - lgamma(n - d + 1) + d * log(p) + (n - d) * log1p(-p))
+        if left <= miss:
+            return d
+    return n
 
 
 def permuted_minima(hashes: np.ndarray, first: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
@@ -137,9 +152,28 @@ def _collide(group: pa.Table) -> pa.Table:
     )
 
 
-def _propose(width: int, most: int, ratio: tuple[int, int], first_tag: Callable[[np.ndarray], np.ndarray] | None):
+def _sketcher(values: int, to_set: Callable[[bytes], np.ndarray]):
+    """(id, hashes) to (id, sketch): `values` MinHash values of 4 bits, two to a byte."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [to_set(x) for x in part.column("hashes").to_pylist()]
+                some = [x for x in own if len(x)]
+                out = np.zeros((len(own), values // 2), np.uint8)
+                if some:
+                    minima = permuted_minima(np.concatenate(some), np.cumsum([0, *map(len, some)]), values, seed=23).astype(np.uint8) & 15
+                    out[[i for i, x in enumerate(own) if len(x)]] = minima[:, 0::2] << 4 | minima[:, 1::2]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["id", "sketch"])
+
+    return sketch
+
+
+def _propose(width: int, most: int, ratio: tuple[int, int], first_tag: Callable[[np.ndarray], np.ndarray] | None, sketch_most: int = 0):
     """Candidate pairs (a < b) of the groups in a block: the nearest earlier members of each. With first_tag, all pairs
-    of different labels, each on the first key only that it has in common (where the group is of one key).
+    of different labels and of sketches within sketch_most, each on the first key only that it has in common (where
+    the group is of one key).
     """
     nearest = first_tag is None
 
@@ -147,7 +181,10 @@ def _propose(width: int, most: int, ratio: tuple[int, int], first_tag: Callable[
         table = table.sort_by([("g", "ascending"), ("id", "ascending")])
         g, ids, size = (table.column(k).to_numpy() for k in ("g", "id", "size"))
         label, tag = table.column("label").to_numpy(), table.column("tag").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, width).astype(np.uint8)
+        whole = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, width)
+        sig = whole.astype(np.uint8)
+        if not nearest:
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         edges = np.flatnonzero(np.concatenate([[True], np.diff(g) != 0])) if len(g) else np.zeros(0, np.int64)
         left, right = [], []
         for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
@@ -168,15 +205,14 @@ def _propose(width: int, most: int, ratio: tuple[int, int], first_tag: Callable[
                         far[np.arange(len(best)), best] = 60_000
                 else:
                     rows, cols = np.nonzero(ok & (label[at:to, None] != label[None, lo:to]))
-                    if tag[lo] >= 0:
-                        for k in range(0, len(rows), 4096):
-                            x, y = rows[k : k + 4096], cols[k : k + 4096]
-                            own = first_tag(sig[at + x] != sig[lo + y]) == tag[lo]
-                            left.append(ids[lo + y[own]])
-                            right.append(ids[at + x[own]])
-                    else:
-                        left.append(ids[lo + cols])
-                        right.append(ids[at + rows])
+                    for k in range(0, len(rows), 4096):
+                        x, y = rows[k : k + 4096], cols[k : k + 4096]
+                        if tag[lo] >= 0:  # keys are of whole values, so the first in common is too
+                            own = first_tag(whole[at + x] != whole[lo + y]) == tag[lo]
+                            x, y = x[own], y[own]
+                        near = UNEQUAL[sketch[at + x] ^ sketch[lo + y]].sum(1, dtype=np.int64) <= sketch_most
+                        left.append(ids[lo + y[near]])
+                        right.append(ids[at + x[near]])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), np.int64)
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
@@ -240,6 +276,7 @@ def similar_components(
     most: int,
     ratio: tuple[int, int],
     groups: int,
+    sketch: int,
     to_set: Callable[[bytes], np.ndarray] = lambda held: np.frombuffer(held, U64),
 ) -> DataFrame:
     """id, label (the least id of its component) of every item that has a confirmed link.
@@ -249,9 +286,11 @@ def similar_components(
     differences to the first of `keys` that each pair has in common, -1 for none. most: signature distance bound.
     sets: ids (column id) to one row each (id, hashes binary), perhaps with more ids. to_set makes of those bytes the
     ascending 64-bit hashes of the set.
-    ratio: (85, 100) links items with 100 * intersection >= 85 * union.
+    ratio: (85, 100) links items with 100 * intersection >= 85 * union. sketch: values of a sketch, an even number; a
+    pair at the threshold is over its bound with probability 1e-6.
     """
     # tag: 0 and up for the group of one key, -1 for a group named by its members, -2 for what a large group is split into
+    sketch_most = tail_bound(sketch, (1 - ratio[0] / ratio[1]) * 15 / 16, 1e-6)
     hit = "g long, a long, b long, n long, tag long"
     found = items.mapInArrow(_key_rows(keys, groups, width, False), "pid int, keys binary, ids binary").groupBy("pid").applyInArrow(_collide, hit)
     found = cut(found.distinct())
@@ -269,8 +308,12 @@ def similar_components(
     held = cut(sets(ids))
 
     def proposed(groups_of: DataFrame, tag: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
-        blocks = groups_of.join(items, "id").select(F.pmod(F.xxhash64("g"), F.lit(groups)).cast("int").alias("p"), "g", "id", "size", "sig", "label", "tag")
-        return blocks.groupBy("p").applyInArrow(_propose(width, most, ratio, tag), "a long, b long").distinct()
+        columns, rows, parts = ["g", "id", "size", "sig", "label", "tag"], items, groups
+        if tag is not None:
+            made = held.join(groups_of.select("id").distinct(), "id").select("id", "hashes").mapInArrow(_sketcher(sketch, to_set), "id long, sketch binary")
+            columns, rows, parts = [*columns, "sketch"], items.join(made, "id"), 4 * groups
+        blocks = groups_of.join(rows, "id").select(F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int").alias("p"), *columns)
+        return blocks.groupBy("p").applyInArrow(_propose(width, most, ratio, tag, sketch_most), "a long, b long").distinct()
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         # the end with more candidates comes first, so that pairs are confirmed by their other end and a hub is spread

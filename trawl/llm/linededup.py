@@ -27,6 +27,8 @@ SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
 WIDTH = BANDS * ROWS
 #: Signature distance of a candidate: P(Binomial(40, 0.2) > 16) is 0.1 %.
 MOST = 16
+#: Values of the sketch of lines in crowded groups.
+SKETCH = 1024
 
 
 def normal(line: bytes) -> bytes:
@@ -145,7 +147,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return read.select("text").mapInArrow(_texts(held, bits), "id long, hashes binary").dropDuplicates(["id"])
 
     items = found.filter("sig IS NOT NULL").select("id", F.lit(1).cast("long").alias("size"), "sig")
-    labels = similar_components(items, _bands, _pairs_of_bands, _first_band, texts, WIDTH, MOST, (PERCENT, 100), groups, _set_of)
+    labels = similar_components(items, _bands, _pairs_of_bands, _first_band, texts, WIDTH, MOST, (PERCENT, 100), groups, SKETCH, _set_of)
     named = labels.select(F.col("id").alias("lid"), "label", F.xxhash64("id").alias("k"))
     lines = found.select("id", "doc", "line", F.xxhash64("id").alias("h"))
     lines = lines.join(named, (F.col("id") == F.col("lid")) & (F.col("h") == F.col("k")), "left").select(F.coalesce("label", "id").alias("component"), "doc", "line")

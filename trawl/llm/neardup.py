@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._simjoin import filtered, key_of, permuted_minima, similar_components
+from ._simjoin import filtered, key_of, permuted_minima, similar_components, tail_bound
 from ._spark import cut, groups_for
 
 CHUNK, ERRORS = 5, 1
 #: Values of a signature: those of the keys, those that split large groups, and more for a sharp distance bound.
 WIDTH = 256
+#: Values of the sketch of documents in crowded groups: at 85 %, pairs of under 80 % seldom pass.
+SKETCH = 2048
 
 
 def distance_plan(percent: int, miss: float = 2e-5) -> tuple[int, int]:
@@ -38,16 +40,6 @@ def distance_plan(percent: int, miss: float = 2e-5) -> tuple[int, int]:
     raise ValueError(f"no plan for a similarity of {percent} %")
 
 
-def tail_bound(n: int, p: float, miss: float) -> int:
-    """The least d with P(Binomial(n, p) > d) <= miss."""
-    left = 1.0
-    for d in range(n + 1):
-        left -= comb(n, d) * p**d * (1 - p) ** (n - d)
-        if left <= miss:
-            return d
-    return n
-
-
 def _keys(chunks: int, at: int):
     masks = list(combinations(range(CHUNK), CHUNK - ERRORS))
 
@@ -153,7 +145,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     def sets(ids: DataFrame) -> DataFrame:
         return filtered(read.filter("id IS NOT NULL"), ids, _setter(shingle), "id long, hashes binary").dropDuplicates(["id"])
 
-    labels = similar_components(items, _keys(chunks, 0), _keys(chunks, CHUNK * chunks), _first_tag(chunks), sets, width, most, (percent, 100), groups)
+    labels = similar_components(items, _keys(chunks, 0), _keys(chunks, CHUNK * chunks), _first_tag(chunks), sets, width, most, (percent, 100), groups, SKETCH)
     whole = cut(labels)
     # copies take the label of their class's representative
     named = linked.join(whole, F.col("b") == F.col("id"), "left").select(F.col("a").alias("mid"), F.coalesce("label", "b").alias("l"))
