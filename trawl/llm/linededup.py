@@ -28,7 +28,7 @@ WIDTH = BANDS * ROWS
 #: Signature distance of a candidate: P(Binomial(40, 0.2) > 16) is 0.1 %.
 MOST = 16
 #: Values of the sketch of lines in crowded groups.
-SKETCH = 1024
+SKETCH = 2048
 
 
 def normal(line: bytes) -> bytes:
