@@ -174,6 +174,21 @@ def test_line_dedup(spark, empty):
     assert linededup.drop_duplicate_lines(empty).count() == 0
 
 
+def test_line_pairs_at_the_threshold_are_candidates():
+    rng = random.Random(4)
+    lines, near = [], []
+    for _ in range(5000):  # 64 of 80 shingles in common
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(79))
+        k = rng.randrange(7, 72)
+        lines.append(line.encode())
+        near.append((line[:k] + "#" + line[k + 1 :]).encode())
+    a, b = linededup.signatures(lines), linededup.signatures(near)
+    # 0.08 of them are expected to be missed
+    assert (~(linededup._bands(a) == linededup._bands(b)).any(1)).sum() <= 2
+    assert ((a != b).sum(1) <= linededup.MOST).all()
+    assert (linededup._pairs_of_bands(a) == linededup._pairs_of_bands(b)).any(1).all()
+
+
 def expected_ids(text):
     return tokenizer().encode(text or "", add_special_tokens=False).ids
 

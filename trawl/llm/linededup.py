@@ -2,8 +2,9 @@
 
 Lines are compared with A-Z lower-cased and white space collapsed. Equal lines are one; different ones are linked if
 their sets of SHINGLE characters have a Jaccard similarity of 0.8 or more. Signatures are banded (BANDS bands of ROWS
-values: a pair of exactly 0.8 is missed with probability (1 - 0.8 ** ROWS) ** BANDS, 0.5 %; of 0.85, 0.06 %), candidates confirmed on
-the exact sets, and links joined by a distributed union-find. Of a component, the line that comes first (document id,
+values: a pair of exactly 0.8 shares none with probability (1 - 0.8 ** ROWS) ** BANDS, under 2e-5; in groups of three or more it is
+over the distance bound with probability under 1e-6), candidates confirmed on the exact sets, and links joined by a
+distributed union-find. Of a component, the line that comes first (document id,
 then line number) stays. Lines without a word always stay.
 """
 
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._simjoin import bitmap, is_set, key_of, similar_components
+from ._simjoin import bitmap, is_set, key_of, similar_components, tail_bound
 from ._spark import cut, groups_for
 
-SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
+SHINGLE, BANDS, ROWS, PERCENT = 8, 21, 4, 80
 WIDTH = BANDS * ROWS
-#: Signature distance of a candidate: P(Binomial(40, 0.2) > 16) is 0.1 %.
-MOST = 16
+#: Signature distance of a candidate.
+MOST = tail_bound(WIDTH, 1 - PERCENT / 100, 1e-6)
+#: Keys for crowded bands: a pair of exactly 0.8 shares none with probability under 1e-12.
+SPLITS = 40
 #: Values of the sketch of lines in crowded groups.
 SKETCH = 2048
 
@@ -116,7 +119,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 def _pairs_of_bands(sig: np.ndarray) -> np.ndarray:
     """Keys for crowded bands: pairs of neighbouring values at other places, of which a similar pair shares some."""
-    return np.stack([key_of(sig[:, [k, (k + 7) % WIDTH]], 100 + k) for k in range(WIDTH)], 1)
+    return np.stack([key_of(sig[:, [k, (k + 7) % WIDTH]], 100 + k) for k in range(SPLITS)], 1)
 
 
 def _first_band(differ: np.ndarray) -> np.ndarray:
