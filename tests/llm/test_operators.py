@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -260,6 +261,36 @@ def test_store(spark, docs, texts, empty):
     assert castore.verify(spark, other).count() == 0
 
 
+def test_store_changed(spark, docs):
+    out = new_table_path(spark, "store")
+    castore.write_store(docs, PATH, out)
+    assert castore.verify(spark, out).count() == docs.count()
+    recipes = spark.read.parquet(f"{out}/recipes")
+    one = recipes.filter("doc_id IS NOT NULL").first()
+    own = F.col("row") == one.row
+    changes = {
+        "shard lost": recipes.filter(F.col("shard") != one.shard),
+        "document lost": recipes.filter(~own),
+        "id": recipes.withColumn("doc_id", F.when(own, F.lit(-9)).otherwise(F.col("doc_id"))),
+        "start": recipes.withColumn("start", F.when(own, F.col("start") + 1).otherwise(F.col("start"))),
+    }
+    for name, changed in changes.items():
+        other = new_table_path(spark, "store")
+        shutil.copytree(out.removeprefix("file:"), other.removeprefix("file:"), ignore=shutil.ignore_patterns("recipes"))
+        changed.write.parquet(f"{other}/recipes")
+        with pytest.raises(ValueError, match="recipes and manifest differ"):
+            castore.verify(spark, other)
+            print(name, "passed")
+    shards = spark.read.parquet(f"{out}/manifest")
+    assert shards.filter("shard IS NULL").count() == 1
+    other = new_table_path(spark, "store")  # a shard gone from recipes and manifest alike
+    shutil.copytree(out.removeprefix("file:"), other.removeprefix("file:"), ignore=shutil.ignore_patterns("recipes", "manifest"))
+    changes["shard lost"].write.parquet(f"{other}/recipes")
+    shards.filter(F.col("shard").isNull() | (F.col("shard") != one.shard)).write.parquet(f"{other}/manifest")
+    with pytest.raises(ValueError, match="recipes and manifest differ"):
+        castore.verify(spark, other)
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, " ".join(texts[0][1].split()[3:20]) if texts[0][1] else "the of"), (2, "one"), (3, None), (4, ""), (5, "--"), (5, "the of the"), (None, "the"), (6, "the " * 30)]
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -3,7 +3,8 @@
 A rolling hash over the last ids of a document cuts its id stream into chunks, so equal passages mostly give equal
 chunks. `write_store` writes below one path: chunks (digest, data: each unique chunk once), recipes (documents in
 ascending id: start, n_tokens, chunk digests, Merkle root) and manifest (one row a shard of recipes: id range, sums,
-Merkle root). `verify` reads the files back, recomputes every digest and root, and gives each document's checksum
+Merkle root over its documents' rows, ids, places and roots; one row of a null shard: the same of the store, with the
+Merkle root over the shards). `verify` reads the files back, recomputes every digest and root, and gives each document's checksum
 from the stored chunks alone: a CRC over a document is the sum of its chunks' CRCs, each shifted by the bytes after
 it, so chunk data need not travel. `read_ids` reconstructs the id streams.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,13 +177,34 @@ def write_store(docs: DataFrame, path: str, out: str, end_id: int | None = None,
             at, row = at + int(n.sum()), row + len(n)
 
     ranged.mapInArrow(recipes, "shard int, row long, doc_id long, start long, n_tokens long, digests binary, sizes array<int>, root binary").write.parquet(f"{out}/recipes")
-    _manifest(spark.read.parquet(f"{out}/recipes")).write.parquet(f"{out}/manifest")
+    spark.createDataFrame(_manifest(spark.read.parquet(f"{out}/recipes")), _MANIFEST).write.parquet(f"{out}/manifest")
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """One row for each shard: its rows, sums and the hash over its documents' roots in order."""
-    roots = recipes.groupBy("shard").agg(F.count("*").alias("docs"), F.min("row").alias("first_row"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_tokens").alias("ids"), F.bit_xor(F.xxhash64("row", "root")).alias("roots_xor"))
-    return roots.withColumn("root", F.sha2(F.concat_ws(",", "shard", "docs", "first_row", "ids", "roots_xor"), 256))
+_MANIFEST = "shard int, docs long, first_row long, first_id long, last_id long, ids long, root binary"
+
+
+def _shard(group: pa.Table) -> pa.Table:
+    """The manifest's row of one shard."""
+    group = group.sort_by("row")
+    columns = [group.column(n).to_pylist() for n in ("row", "doc_id", "start", "n_tokens", "root")]
+    root = merkle([f"{row},{doc},{start},{n},".encode() + own for row, doc, start, n, own in zip(*columns, strict=True)])
+    ids = [x for x in columns[1] if x is not None]
+    out = {"shard": group.column("shard")[0].as_py(), "docs": group.num_rows, "first_row": columns[0][0], "first_id": min(ids, default=None), "last_id": max(ids, default=None), "ids": sum(columns[3]), "root": root}
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+    return pa.table([pa.array([x], kind) for x, kind in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+def _manifest(recipes: DataFrame) -> list[tuple]:
+    """One row for each shard, in order, and at last one for the store, whose shard is null."""
+    made = recipes.select("shard", "row", "doc_id", "start", "n_tokens", "root").groupBy("shard").applyInArrow(_shard, _MANIFEST)
+    rows = sorted((_plain(r) for r in made.collect()), key=lambda r: r[0])  # one row a shard
+    root = merkle([",".join(map(str, r[:-1])).encode() + b"," + r[-1] for r in rows])
+    ids = [x for r in rows for x in r[3:5] if x is not None]
+    return [*rows, (None, sum(r[1] for r in rows), min((r[2] for r in rows), default=None), min(ids, default=None), max(ids, default=None), sum(r[5] for r in rows), root)]
+
+
+def _plain(row: tuple) -> tuple:
+    return (*row[:-1], bytes(row[-1]))
 
 
 def _crc_tables() -> np.ndarray:
@@ -221,8 +244,7 @@ def verify(spark: SparkSession, out: str) -> DataFrame:
     """
     parts = spark.read.schema(_DDL).parquet(f"{out}/parts").filter("kind = 'chunk'").select("key", "data")
     recipes = spark.read.parquet(f"{out}/recipes")
-    wrong = _manifest(recipes).select("shard", "root").exceptAll(spark.read.parquet(f"{out}/manifest").select("shard", "root"))
-    if wrong.limit(1).count():
+    if Counter(_manifest(recipes)) != Counter(_plain(r) for r in spark.read.parquet(f"{out}/manifest").collect()):
         raise ValueError(f"{out}: recipes and manifest differ")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
