@@ -120,6 +120,17 @@ def test_near_duplicates(spark, docs, texts, empty, big, monkeypatch):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    one, two = " ".join(f"a{k}" for k in range(200)), " ".join(f"b{k}" for k in range(200))
+    near = [x.replace("100", "z") for x in (one, two)]
+    # 1 has both texts; 5 and 6 are exact copies of them, 7 and 8 near ones, each also without 5 and 6
+    for more in ([(5, one), (6, two)], []):
+        texts = [(1, one), (1, two), (1, None), (7, near[0]), (8, near[1]), (9, "something else"), *more]
+        got = neardup.near_duplicates(spark.createDataFrame(rows(texts), SCHEMA).repartition(3)).collect()
+        assert len(got) == len(texts)
+        assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 5, 80) == {i: 9 if i == 9 else 1 for i, _ in texts}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5000, 5001 + i) for i in range(40)]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
+from ._components import connected_components
 from ._simjoin import filtered, key_of, permuted_minima, similar_components, tail_bound
 from ._spark import cut, groups_for
 
@@ -91,31 +92,37 @@ def shingles(block: pa.RecordBatch, size: int, text: str = "text") -> tuple[np.n
     return out, begin
 
 
+def _class(own: np.ndarray) -> int:
+    """A signed 64-bit id of a set of hashes."""
+    return int(A.mix(own ^ A.mix(np.full(1, len(own), A.U64))).sum().view(np.int64))
+
+
 def _signer(size: int, width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in A.blocks(batches):
             hashes, begin = shingles(block, size)
             some = np.flatnonzero(np.diff(begin))
             sizes, classes = np.zeros(block.num_rows, np.int64), [None] * block.num_rows
-            weave = [A.mix(np.full(1, k, A.U64))[0] for k in (1, 2)]
             for row in some:
                 own = np.unique(hashes[begin[row] : begin[row + 1]])
-                sizes[row] = len(own)
-                classes[row] = b"".join(int(A.mix(own ^ w).sum()).to_bytes(8, "little") for w in weave) + len(own).to_bytes(4, "little")
+                sizes[row], classes[row] = len(own), _class(own)
             sigs = [None] * block.num_rows
             if len(some):
                 for row, sig in zip(some, permuted_minima(hashes, np.append(begin[some], begin[-1]), width), strict=True):
                     sigs[row] = sig.tobytes()
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "size", "class", "sig"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(classes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "size", "class", "sig"])
 
     return sign
 
 
 def _setter(size: int):
+    """The class and set of each text."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in A.blocks(batches):
             hashes, begin = shingles(block, size)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([np.unique(hashes[x:y]).tobytes() for x, y in zip(begin, begin[1:], strict=False)], pa.binary())], names=["id", "hashes"])
+            sets = [np.unique(hashes[x:y]) for x, y in zip(begin, begin[1:], strict=False) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "hashes"])
 
     return make
 
@@ -133,23 +140,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     most = tail_bound(width, 1 - percent / 100, 1e-6)
     groups = groups_for(docs, 8 << 20, text_col)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(read.mapInArrow(_signer(shingle, width), "id long, size long, class binary, sig binary"))
+    signed = cut(read.mapInArrow(_signer(shingle, width), "id long, size long, class long, sig binary"))
     some = signed.filter("size > 0 AND id IS NOT NULL")
-    # Equal sets are one class; its least id stands for it. Rows that repeat an id with other texts link their classes.
+    # Equal sets are one class, and classes are what is compared; the least id of a class finds its text again.
     classes = some.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = cut(classes)
-    items = cut(classes.groupBy(F.col("rep").alias("id")).agg(F.min_by(F.struct("size", "sig"), "class").alias("x")).select("id", "x.size", "x.sig"))
-    copies = classes.filter("n > 1").select(F.col("class").alias("c"), "rep")
-    linked = some.select("id", "class").join(copies, F.col("class") == F.col("c")).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    items = classes.select(F.col("class").alias("id"), "size", "sig")
 
     def sets(ids: DataFrame) -> DataFrame:
-        return filtered(read.filter("id IS NOT NULL"), ids, _setter(shingle), "id long, hashes binary").dropDuplicates(["id"])
-
-    labels = similar_components(items, _keys(chunks, 0), _keys(chunks, CHUNK * chunks), _first_tag(chunks), sets, width, most, (percent, 100), groups, SKETCH)
-    whole = cut(labels)
-    # copies take the label of their class's representative
-    named = linked.join(whole, F.col("b") == F.col("id"), "left").select(F.col("a").alias("mid"), F.coalesce("label", "b").alias("l"))
-    named = named.union(whole.select("id", "label")).groupBy(F.col("mid")).agg(F.min("l").alias("l"))
+        reps = classes.join(ids, F.col("class") == F.col("id")).select(F.col("rep").alias("id")).distinct()
+        return filtered(read.filter("id IS NOT NULL"), reps, _setter(shingle), "id long, hashes binary").dropDuplicates(["id"])
+
+    labels = cut(similar_components(items, _keys(chunks, 0), _keys(chunks, CHUNK * chunks), _first_tag(chunks), sets, width, most, (percent, 100), groups, SKETCH))
+    # texts under one id link their classes
+    shared = some.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select(F.col("id").alias("i"), "lo")
+    shared = cut(some.select("id", "class").join(shared, F.col("id") == F.col("i")).filter("class <> lo").select(F.col("class").alias("a"), F.col("lo").alias("b")).distinct())
+    if shared.limit(1).count():
+        labels = cut(connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(shared)))
+    placed = classes.select("class", "rep", "n").join(labels, F.col("class") == F.col("id"), "left").select("class", "rep", "n", F.coalesce("label", "class").alias("label"))
+    least = placed.groupBy(F.col("label").alias("of")).agg(F.min("rep").alias("l"))
+    placed = placed.join(least, F.col("label") == F.col("of")).filter("n > 1 OR rep <> l").select(F.col("class").alias("c"), "l")
+    named = some.select("id", "class").join(placed, F.col("class") == F.col("c")).filter("id <> l").select(F.col("id").alias("mid"), "l").groupBy("mid").agg(F.min("l").alias("l"))
     out = signed.select("id", "size").withColumn("h", F.xxhash64("id")).join(named.withColumn("k", F.xxhash64("mid")), (F.col("id") == F.col("mid")) & (F.col("h") == F.col("k")), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("l", "id").alias("component_id"), F.coalesce(F.coalesce("l", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
