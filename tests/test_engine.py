@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawl.functions import score, text
-from trawl.operators import collection, fusion, geo, images, strings, vectors
-from trawl.operators.index import Field, Index, highlight
+from trawl.operators import collection, fusion, geo, images, kernels, strings, vectors
+from trawl.operators.lookup import Field, SearchTables, highlight, same_layout
 from trawl.plans import query
 from trawl.sources import rows
 from trawl.streaming.changes import Collection
@@ -29,10 +29,7 @@ GROCERY = [
 @pytest.fixture(scope="module")
 def shop(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(GROCERY)], "doc_id long, brand string, title string, category string")
-    index = Index.build(df, [Field("brand", 3.0, 0.4), Field("title", 2.0, 0.4), Field("category", 1.0, 0.75)], "doc_id", text.grocery_aliases())
-    for name in ("tokens", "postings", "terms", "docs"):
-        setattr(index, name, getattr(index, name).cache())
-    return index
+    return SearchTables.build(df, [Field("brand", 3.0, 0.4), Field("title", 2.0, 0.4), Field("category", 1.0, 0.75)], "doc_id", text.grocery_aliases()).persist()
 
 
 def top(spark, shop, q, k=5, **more):
@@ -77,6 +74,55 @@ def test_highlight():
     assert highlight("Bear Brand Milk 300g", {"bear", "300g"}) == [(0, 4), (16, 20)]
 
 
+def test_plan_of_words(spark, shop):
+    """Alias-made words have number forms, worth no more than the word; unknown short words are corrected by the rest."""
+    df = spark.createDataFrame([(0, "inumin"), (1, "pancit cantons")], "query_id long, text string")
+    rows = {(r.query_id, r.term, r.dist) for r in shop.planned_terms(df).collect()}
+    assert (0, "drink", 0) in rows and (1, "canton", 1) in rows
+    eggs = SearchTables.build(spark.createDataFrame([(0, "large eggs"), (1, "egg pie"), (2, "magic me"), (3, "mee goreng"), (4, "oat milk")], "doc_id long, t string"), [Field("t")], "doc_id", {"itlog": "egg"})
+    found = {(r.term, r.dist): r.weight for r in eggs.planned_terms(spark.createDataFrame([(0, "itlog")], "query_id long, text string")).collect()}
+    assert set(found) == {("egg", 0), ("eggs", 1)} and found["eggs", 1] <= found["egg", 0]
+    assert [(d, b) for d, b in top(spark, eggs, "magic mee")][0] == (2, 1)
+    assert {r.term for r in eggs.planned_terms(spark.createDataFrame([(0, "oat milk")], "query_id long, text string")).collect()} == {"oat", "milk"}
+    assert {r.term for r in eggs.fetch_plan(spark.createDataFrame([(0, "magic mee")], "query_id long, text string")).collect()} == {"magic", "mee", "me"}
+
+
+def test_segments_and_files(spark, tmp_path):
+    first = SearchTables.build(spark.createDataFrame([(0, "red apple", "a"), (1, "green apple", "b")], "doc_id long, t string, sku string"), [Field("t")], "doc_id", key="sku")
+    both = first.push(spark.createDataFrame([(2, "blue apple", "a"), (3, "apple", None)], "doc_id long, t string, sku string"), "doc_id")
+    assert {d for d, _ in top(spark, both, "apple")} == {1, 2, 3}
+    assert both.counts().first().asDict() == {"segments": 2, "docs": 4, "deleted": 1, "live": 3}
+    less = both.delete_keys(spark.createDataFrame([("b",), ("nokey",)], "key string"))
+    assert {d for d, _ in top(spark, less, "apple")} == {2, 3}
+    assert {d for d, _ in top(spark, less.undelete(spark.createDataFrame([(1,)], "doc_id long")), "apple")} == {1, 2, 3}
+    less.write(f"{tmp_path}/x")
+    back = SearchTables.load(spark, f"{tmp_path}/x")
+    assert top(spark, back, "apple") == top(spark, less, "apple") and same_layout(less, back)
+    back.write_hits(back.search(spark.createDataFrame([(0, "apple")], "query_id long, text string"), 5), f"{tmp_path}/hits")
+    assert spark.read.text(f"{tmp_path}/hits").count() == 2
+    spark.createDataFrame([("x", 9)], "term string, df long").write.mode("append").parquet(f"{tmp_path}/x/terms")
+    with pytest.raises(ValueError, match="not what was written"):
+        SearchTables.load(spark, f"{tmp_path}/x")
+
+
+def test_group_codes_of_many_ranges(spark):
+    """Codes are right whatever partitions the ranges get, with coalescing on and off."""
+    rows = spark.range(300_000, numPartitions=7).select((F.col("id") * 7919 % 300_000).alias("k"), F.col("id").alias("row_id"))
+    for on in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", on)
+        made = kernels.group_codes(rows, ["k"], "row_id")
+        assert made.filter("code <> first_row").count() == 0 and made.count() == 300_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    kernels.range_clustered(spark.range(1000).select(F.col("id").cast("double").alias("v")), "v", f"{tmp_path}/v")
+    made = spark.read.parquet(f"{tmp_path}/v").filter(kernels.condition("between", F.col("v"), 3.0, 5.0))
+    assert made.count() == 3
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(v,3.0)" in plan and "LessThanOrEqual(v,5.0)" in plan
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 3.0), (2, 1.0)], "doc_id long, score double")
     one = spark.createDataFrame([(2, 9.0)], "doc_id long, score double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trawl.functions import text as T
 from trawl.operators import collection as C
 from trawl.operators import fusion, geo, images, kernels, strings, vectors
-from trawl.operators.index import Field, Index, facet_clause, in_range
+from trawl.operators.lookup import Field, SearchTables, facet_clause, in_range
 from trawl.sources import rows as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ for _op in kernels.FILTERS:
     @add(f"filter_{_op}", f"SELECT event_id, {_HOLED} AS v FROM events WHERE {_HOLED} {_SQL[_op]}")
     def _filter(spark, sf_dir, op=_op):
         rows = table(spark, sf_dir, "events").select("event_id", F.expr(_HOLED).alias("v"))
-        return rows.filter(kernels.predicate(op, F.col("v"), *_OPERANDS[op]))
+        return rows.filter(kernels.condition(op, F.col("v"), *_OPERANDS[op]))
 
 
 _AGG_SQL = {"sum": "coalesce(sum(v), 0)", "avg": "avg(v)", "count": "count(v)", "count_distinct": "count(DISTINCT v)", "min": "min(v)", "max": "max(v)", "first": "arg_min(v, event_id) FILTER (WHERE v IS NOT NULL)", "last": "arg_max(v, event_id) FILTER (WHERE v IS NOT NULL)"}
@@ -80,6 +80,27 @@ def _combine(spark, sf_dir):
     return kernels.group_codes(table(spark, sf_dir, "events").withColumn("bin", F.col("user_id") % 7), ["event_type", "bin"], "event_id")
 
 
+@add("range_query", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice >= 10000 AND l_extendedprice < 12000")
+def _range_query(spark, sf_dir):
+    return kernels.range_query(table(spark, sf_dir, "lineitem"), "l_extendedprice", 10_000, 12_000).select("l_orderkey", "l_linenumber")
+
+
+@add("key_ranks", "SELECT k.event_id * 3 AS key, r.rank FROM events k LEFT JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM (SELECT DISTINCT o_orderkey FROM orders)) r ON k.event_id * 3 = r.o_orderkey")
+def _key_ranks(spark, sf_dir):
+    return kernels.lookup(table(spark, sf_dir, "orders"), "o_orderkey", table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("key")), "key")
+
+
+@add("symbol_ranks", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS rank FROM events")
+def _symbol_ranks(spark, sf_dir):
+    return kernels.ranks(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type")
+
+
+@add("group_codes_many", "SELECT o_orderkey, first_row, n_rows, row_number() OVER (ORDER BY first_row) - 1 AS code FROM (SELECT o_orderkey, min(o_custkey * 10000000000 + o_orderkey) AS first_row, count(*) AS n_rows FROM orders GROUP BY o_orderkey)")
+def _many_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("row_id", F.col("o_custkey") * 10_000_000_000 + F.col("o_orderkey"))
+    return kernels.group_codes(rows, ["o_orderkey"], "row_id")
+
+
 _SETS = {"and": "a AND b", "or": "a OR b", "not": "NOT a", "and_not": "a AND NOT b", "xor": "a <> b"}
 for _op, _sql in _SETS.items():
 
@@ -102,16 +123,20 @@ tf AS (SELECT term, doc_id, count(*) AS c FROM pos GROUP BY ALL), dict AS (SELEC
 _CANON = "floor(x / pow(2.0, floor(log2(x)) - 20) + 0.5) * pow(2.0, floor(log2(x)) - 20)"
 
 
-_BUILT: dict[tuple[str, str], Index] = {}
+_BUILT: dict[tuple[str, str], SearchTables] = {}
+
 
+def build(spark: SparkSession, sf_dir: str) -> SearchTables:
+    return SearchTables.build(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), [Field("text", 1.0, 0.75)], "doc_id")
 
-def documents(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of documents, built once for a session and folder, as a resident index would be."""
+
+def documents(spark: SparkSession, sf_dir: str) -> SearchTables:
+    """The tables of documents, built once for a session and folder, as those of a service would be; the last ones are released."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         while _BUILT:
             _BUILT.popitem()[1].unpersist()
-        _BUILT[key] = Index.build(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), [Field("text", 1.0, 0.75)], "doc_id").persist()
+        _BUILT[key] = build(spark, sf_dir).persist()
     return _BUILT[key]
 
 
@@ -119,16 +144,25 @@ def asked(spark: SparkSession, *texts: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
 
 
-def _ranked(words: dict[int, list[str]], where: str = "TRUE", order: str = "", k: int = 10, offset: int = 0, extra: str = "") -> str:
-    """SQL of a ranked search for words that the dictionary has."""
-    values = ", ".join(f"({q}, {g}, '{w}', {0 if w in T.CONNECTIVES else 3}, {len(ws)})" for q, ws in words.items() for g, w in enumerate(ws))
-    return f"""WITH {_POST}, q(query_id, grp, term, pen, n) AS (VALUES {values}),
-hit AS (SELECT q.query_id, tf.doc_id, q.n, q.pen, ln(1 + greatest(st.n - df + 0.5, 0.5) / (df + 0.5)) * (c / (0.25 + 0.75 * len(w) / al)) / (0.9 + c / (0.25 + 0.75 * len(w) / al)) AS s, len(w) AS l, lang, n_chars
+def _exactly(words: dict[int, list[str]]) -> str:
+    """q: the plan of words that the dictionary has."""
+    values = ", ".join(f"({q}, {g}, '{w}', 0, {0 if w in T.CONNECTIVES else 3}, {len(ws)})" for q, ws in words.items() for g, w in enumerate(ws))
+    return f"q(query_id, grp, term, dist, pen, n) AS (VALUES {values})"
+
+
+def _ranked(plan: str, where: str = "TRUE", order: str = "", k: int = 10, offset: int = 0, extra: str = "", raw: bool = False, anchor: str = "", select: str = "query_id, rank, doc_id, round(score, 6) AS score, bucket") -> str:
+    """SQL of a ranked search for the plan q(query_id, grp, term, dist, pen, n). anchor: a condition on doc for typeahead; raw: scores without factors."""
+    near = "1.0" if raw else "CASE WHEN bucket = 0 AND l = n THEN 1.0 ELSE 0.9 END" + (f" * CASE WHEN {anchor} THEN 1.0 ELSE 0.5 END" if anchor else "")
+    return f"""WITH {_POST}, {plan},
+pens AS (SELECT query_id, sum(pen) AS missing FROM (SELECT DISTINCT query_id, grp, pen FROM q) GROUP BY query_id),
+hit AS (SELECT q.query_id, q.grp, tf.doc_id, q.n, q.pen, q.dist, pow(0.6::DOUBLE, q.dist) * ln(1 + greatest(st.n - df + 0.5, 0.5) / (df + 0.5)) * (c / (0.25 + 0.75 * len(w) / al)) / (0.9 + c / (0.25 + 0.75 * len(w) / al)) AS s, len(w) AS l, w[1] AS head, lang, n_chars
   FROM q JOIN tf USING (term) JOIN dict USING (term) JOIN tok USING (doc_id), st),
-doc AS (SELECT query_id, doc_id, lang, n_chars, (SELECT sum(pen) FROM q z WHERE z.query_id = hit.query_id) - sum(pen) AS bucket, sum(s) * CASE WHEN (SELECT sum(pen) FROM q z WHERE z.query_id = hit.query_id) - sum(pen) = 0 AND any_value(l) = any_value(n) THEN 1.0 ELSE 0.9 END AS x FROM hit GROUP BY query_id, doc_id, lang, n_chars),
-r AS (SELECT *, {_CANON} AS score FROM doc WHERE {where} {extra}),
+grp AS (SELECT query_id, doc_id, grp, any_value(n) AS n, any_value(l) AS l, any_value(head) AS head, any_value(lang) AS lang, any_value(n_chars) AS n_chars, min(dist) - any_value(pen) AS gain, sum(s) AS s FROM hit GROUP BY query_id, doc_id, grp),
+doc AS (SELECT query_id, doc_id, any_value(n) AS n, any_value(l) AS l, any_value(head) AS head, any_value(lang) AS lang, any_value(n_chars) AS n_chars, any_value(missing) + sum(gain) AS bucket, sum(s) AS s FROM grp JOIN pens USING (query_id) GROUP BY query_id, doc_id),
+x AS (SELECT *, s * {near} AS x FROM doc),
+r AS (SELECT *, {_CANON} AS score FROM x WHERE {where} {extra}),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order} bucket, score DESC, doc_id) AS rank FROM r)
-SELECT query_id, rank, doc_id, round(score, 6) AS score, bucket FROM o WHERE rank > {offset} AND rank <= {offset + k}"""
+SELECT {select} FROM o WHERE rank > {offset} AND rank <= {offset + k}"""
 
 
 _WORDS = {0: ["that", "was"], 1: ["und", "ist", "das"], 2: ["que", "para"]}
@@ -139,32 +173,52 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), F.col("bucket").cast("long").alias("bucket"))
 
 
-@add("bm25f_topk", _ranked(_WORDS))
+@add("bm25f_topk", _ranked(_exactly(_WORDS)))
 def _bm25f(spark, sf_dir):
     return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10))
 
 
-@add("bm25f_page", _ranked(_WORDS, offset=10))
+_BATCH = [f"{a} {b}" for own in (("und", "ist", "das", "nicht"), ("que", "para", "por", "una"), ("that", "was")) for a in own for b in own if a != b]
+_BATCH = (_BATCH * 39)[:1000]
+
+
+@add("bm25f_batch", _ranked(_exactly({q: t.split() for q, t in enumerate(_BATCH)})))
+def _batch(spark, sf_dir):
+    """A thousand queries in one search."""
+    return _hits(documents(spark, sf_dir).search(asked(spark, *_BATCH), 10))
+
+
+@add("bm25f_page", _ranked(_exactly(_WORDS), offset=10))
 def _page(spark, sf_dir):
     return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10, offset=10))
 
 
-@add("bm25f_facet", _ranked(_WORDS, where="lang IN ('en', 'de')"))
+@add("bm25f_facet", _ranked(_exactly(_WORDS), where="lang IN ('en', 'de')"))
 def _facet(spark, sf_dir):
     return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10, where=facet_clause("lang", ["en", "de"])))
 
 
-@add("bm25f_range", _ranked(_WORDS, where="n_chars >= 500 AND n_chars < 3000"))
+@add("bm25f_range", _ranked(_exactly(_WORDS), where="n_chars >= 500 AND n_chars < 3000"))
 def _range(spark, sf_dir):
     return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10, where=in_range("n_chars", 500, 3000)))
 
 
-@add("sort_by_value", _ranked(_WORDS, order="n_chars DESC,"))
+@add("facet_and_range", _ranked(_exactly(_WORDS), where="lang = 'de' AND n_chars >= 500 AND n_chars < 3000"))
+def _both(spark, sf_dir):
+    return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10, where=facet_clause("lang", ["de"]) & in_range("n_chars", 500, 3000)))
+
+
+@add("sort_by_value", _ranked(_exactly(_WORDS), where="n_chars IS NOT NULL", order="n_chars DESC,", raw=True))
 def _sorted(spark, sf_dir):
-    return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10, order=[F.col("n_chars").desc()]))
+    return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10, sort=("n_chars", False)))
+
+
+@add("sort_filtered", _ranked(_exactly(_WORDS), where="n_chars IS NOT NULL AND n_chars >= 100 AND lang <> 'en'", order="n_chars,", raw=True))
+def _sorted_filtered(spark, sf_dir):
+    return _hits(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10, where=in_range("n_chars", 100, 1e12) & facet_clause("lang", ["de", "fr", "es"]), sort=("n_chars", True)))
 
 
-@add("search_exclude", _ranked({0: ["that"]}, extra="AND doc_id NOT IN (SELECT doc_id FROM tf WHERE term = 'was')"))
+@add("search_exclude", _ranked(_exactly({0: ["that"]}), extra="AND doc_id NOT IN (SELECT doc_id FROM tf WHERE term = 'was')"))
 def _exclude(spark, sf_dir):
     return _hits(documents(spark, sf_dir).search(asked(spark, "that -was"), 10))
 
@@ -172,11 +226,27 @@ def _exclude(spark, sf_dir):
 _OF_THE = "AND doc_id IN (SELECT a.doc_id FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.term = 'that' AND b.term = 'the')"
 
 
-@add("search_phrase", _ranked({0: ["that", "the"]}, extra=_OF_THE))
+@add("search_phrase", _ranked(_exactly({0: ["that", "the"]}), extra=_OF_THE))
 def _phrase(spark, sf_dir):
     return _hits(documents(spark, sf_dir).search(asked(spark, '"that the"'), 10))
 
 
+@add("phrase_mixed", _ranked(_exactly({0: ["was", "that", "the"]}), extra=_OF_THE + " AND doc_id NOT IN (SELECT doc_id FROM tf WHERE term = 'and')"))
+def _mixed(spark, sf_dir):
+    return _hits(documents(spark, sf_dir).search(asked(spark, 'was "that the" -and'), 10))
+
+
+@add("score_docs", _ranked(_exactly(_WORDS), extra="AND doc_id < 20", k=1_000_000, select="query_id, doc_id, round(score, 6) AS score, bucket"))
+def _score_docs(spark, sf_dir):
+    ids = spark.range(20).withColumnRenamed("id", "doc_id")
+    return documents(spark, sf_dir).score_docs(asked(spark, *_TEXTS), ids).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("bucket").cast("long").alias("bucket"))
+
+
+@add("search_work", f"WITH {_POST}, {_exactly(_WORDS)} SELECT query_id, count(*) AS n_terms, sum(df)::BIGINT AS n_postings FROM q JOIN dict USING (term) GROUP BY query_id")
+def _work(spark, sf_dir):
+    return documents(spark, sf_dir).work(asked(spark, *_TEXTS))
+
+
 @add("count_any", f"WITH {_POST} SELECT q AS query_id, (SELECT count(DISTINCT doc_id) FROM tf WHERE list_contains(ws, term)) AS n FROM (VALUES (0, ['that', 'was']), (1, ['und', 'ist', 'das']), (2, ['nosuchword'])) t(q, ws)")
 def _any(spark, sf_dir):
     return documents(spark, sf_dir).count(asked(spark, *_TEXTS[:2], "nosuchword"), "any")
@@ -192,9 +262,72 @@ def _count_phrase(spark, sf_dir):
     return documents(spark, sf_dir).count(asked(spark, "of the", "that was"), "phrase")
 
 
-@add("dictionary", f"WITH {_POST} SELECT term, length(term) AS n_chars, df FROM dict WHERE df >= 3")
+@add("count_cost", f"WITH {_POST} SELECT 0 AS query_id, (SELECT sum(df)::BIGINT FROM dict WHERE term IN ('that', 'was')) AS n_postings UNION ALL SELECT 1, 0")
+def _count_cost(spark, sf_dir):
+    return documents(spark, sf_dir).count_cost(asked(spark, "that was", "that nosuchword"), "all")
+
+
+@add("count_deleted", f"WITH {_POST} SELECT 0 AS query_id, (SELECT count(*) FROM (SELECT doc_id FROM tf WHERE term IN ('that', 'was') AND (doc_id % 3 <> 0 OR doc_id % 2 = 0) GROUP BY doc_id HAVING count(*) = 2)) AS n")
+def _count_deleted(spark, sf_dir):
+    """A third of the documents is deleted, and of those every second one brought back."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    return documents(spark, sf_dir).delete(ids.filter("doc_id % 3 = 0")).undelete(ids.filter("doc_id % 2 = 0")).count(asked(spark, "that was"), "all")
+
+
+@add("search_deleted", _ranked(_exactly(_WORDS), extra="AND doc_id % 3 <> 0"))
+def _deleted(spark, sf_dir):
+    """Deleted documents aren't found, but count in the figures of scores."""
+    return _hits(documents(spark, sf_dir).delete(table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id")).search(asked(spark, *_TEXTS), 10))
+
+
+def _segments_of(spark, sf_dir) -> SearchTables:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars", (F.col("doc_id") % 777).alias("sku"))
+    first = SearchTables.build(rows.filter("doc_id % 4 = 0"), [Field("text", 1.0, 0.75)], "doc_id", key="sku")
+    return first.push(rows.filter("doc_id % 4 = 1"), "doc_id").push(rows.filter("doc_id % 4 > 1"), "doc_id")
+
+
+_SHADOWED = "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 777 ORDER BY least(doc_id % 4, 2) DESC, doc_id DESC) AS z FROM documents) WHERE z > 1"
+
+
+@add("search_segments", _ranked(_exactly(_WORDS), extra=f"AND doc_id NOT IN ({_SHADOWED})"))
+def _segments_search(spark, sf_dir):
+    """Three segments, of which later ones replace keys of earlier ones."""
+    return _hits(_segments_of(spark, sf_dir).search(asked(spark, *_TEXTS), 10))
+
+
+@add("segment_counts", f"SELECT 3 AS segments, count(*) AS docs, (SELECT count(*) FROM ({_SHADOWED})) AS deleted, count(*) - (SELECT count(*) FROM ({_SHADOWED})) AS live FROM documents")
+def _segment_counts(spark, sf_dir):
+    return _segments_of(spark, sf_dir).counts()
+
+
+@add("segment_labels", f"SELECT lang AS label, count(*) AS n FROM documents WHERE lang <> '' AND doc_id NOT IN ({_SHADOWED}) GROUP BY lang")
+def _segment_labels(spark, sf_dir):
+    return _segments_of(spark, sf_dir).facet_labels("lang")
+
+
+@add("locate", f"SELECT doc_id, least(doc_id % 4, 2)::INT AS seg, doc_id % 777 AS sku, lang, doc_id IN ({_SHADOWED}) AS deleted FROM documents WHERE doc_id < 50")
+def _locate(spark, sf_dir):
+    return _segments_of(spark, sf_dir).locate(spark.range(50).withColumnRenamed("id", "doc_id")).select("doc_id", "seg", "sku", "lang", "deleted")
+
+
+@add("key_lookup", "SELECT CAST(k AS VARCHAR) AS key, doc_id FROM (SELECT doc_id, doc_id % 777 AS k, row_number() OVER (PARTITION BY doc_id % 777 ORDER BY least(doc_id % 4, 2) DESC, doc_id DESC) AS z FROM documents) WHERE z = 1")
+def _key_lookup(spark, sf_dir):
+    return _segments_of(spark, sf_dir).doc_of_key()
+
+
+@add("reload_equals", _ranked(_exactly(_WORDS)))
+def _reload(spark, sf_dir):
+    """Tables that were written and loaded answer as before."""
+    from trawl.operators.graph import new_path
+
+    path = new_path(spark, "search")
+    documents(spark, sf_dir).write(path)
+    return _hits(SearchTables.load(spark, path).search(asked(spark, *_TEXTS), 10))
+
+
+@add("dictionary", f"WITH {_POST} SELECT term, df FROM dict")
 def _dictionary(spark, sf_dir):
-    return documents(spark, sf_dir).terms.filter("df >= 3").select("term", "n_chars", "df")
+    return documents(spark, sf_dir).terms
 
 
 @add("facet_tally", f"WITH {_POST} SELECT 0 AS query_id, lang AS label, count(*) AS n FROM tok WHERE doc_id IN (SELECT doc_id FROM tf WHERE term IN ('that', 'was')) GROUP BY lang")
@@ -207,26 +340,53 @@ def _bins(spark, sf_dir):
     return documents(spark, sf_dir).range_tally(asked(spark, _TEXTS[0]), "n_chars", [0, 500, 2000, 10_000, 10_000_000])
 
 
-@add("typo_terms", f"WITH {_POST} SELECT word, term, damerau_levenshtein(term, word) AS dist, df FROM dict, (VALUES ('thta', 1), ('whcih', 1)) q(word, most) WHERE regexp_full_match(term, '[a-z]+') AND word NOT IN (SELECT term FROM dict) AND damerau_levenshtein(term, word) <= most")
+_NEAR = "SELECT term, df, damerau_levenshtein(term, '{w}') AS dist FROM dict WHERE length(term) BETWEEN length('{w}') - 1 AND length('{w}') + 1 AND damerau_levenshtein(term, '{w}') <= 1"
+
+
+@add("typo_terms", f"WITH {_POST} " + " UNION ALL ".join(f"SELECT '{w}' AS word, term, dist, df FROM ({_NEAR.format(w=w)}) WHERE NOT EXISTS (SELECT 1 FROM dict WHERE term = '{w}')" for w in ("thta", "whcih", "prsent")))
 def _typo(spark, sf_dir):
-    index = documents(spark, sf_dir)
-    return index.expand(index.words(asked(spark, "thta whcih")), cap=1_000_000).filter("term RLIKE '^[a-z]+$' AND grp < 10000 AND dist > 0").select("word", "term", F.col("dist").cast("long").alias("dist"), "df")
+    words = {"thta": 1, "whcih": 1, "prsent": 1}
+    tables = documents(spark, sf_dir)
+    lost = {w: n for w, n in words.items() if w not in tables.exact(set(words))}
+    rows = [(w, t, d, df) for w, own in tables.near(lost).items() for t, d, df in own]
+    return spark.createDataFrame(rows, "word string, term string, dist long, df long")
+
+
+@add("neighbours", f"WITH {_POST} SELECT term, df FROM ({_NEAR.format(w='was')}) WHERE dist = 1")
+def _neighbours(spark, sf_dir):
+    rows = [(t, df) for t, d, df in documents(spark, sf_dir).near({"was": 1}).get("was", []) if d == 1]
+    return spark.createDataFrame(rows, "term string, df long")
 
 
 @add("prefix_terms", f"WITH {_POST} SELECT term, df FROM dict WHERE starts_with(term, 'zuv')")
 def _prefix(spark, sf_dir):
-    index = documents(spark, sf_dir)
-    return index.expand(index.words(asked(spark, "zuv"), typing=True), cap=1_000_000).select("term", "df")
+    return documents(spark, sf_dir).planned_terms(asked(spark, "zuv"), typing=True, cap=1_000_000).select("term", "df")
+
+
+# the word with a typo has no exact term; `wsa` is too short for typos, but its neighbours that stand with the rest are let in
+_TYPOS = f"""near AS ({_NEAR.format(w='thta')}), other AS ({_NEAR.format(w='wsa')}),
+meet AS (SELECT DISTINCT o.term FROM other o JOIN tf a ON a.term = o.term JOIN tf b ON b.doc_id = a.doc_id WHERE b.term IN (SELECT term FROM near) AND o.dist = 1),
+q AS (SELECT 0 AS query_id, 0 AS grp, term, dist, 3 AS pen, 2 AS n FROM near QUALIFY row_number() OVER (ORDER BY dist, df, term) <= 16
+  UNION ALL SELECT 0, 1, term, 1, 3, 2 FROM other WHERE term IN (SELECT term FROM meet) QUALIFY row_number() OVER (ORDER BY df, term) <= 16)"""
 
 
-@add("typo_search")
+@add("typo_search", _ranked(_TYPOS))
 def _typo_search(spark, sf_dir):
-    return _hits(documents(spark, sf_dir).search(asked(spark, "thta wsa", "ountion"), 10))
+    return _hits(documents(spark, sf_dir).search(asked(spark, "thta wsa"), 10))
+
+
+@add("context_correction", f"WITH {_POST}, {_TYPOS} SELECT query_id, grp, term, dist FROM q")
+def _context(spark, sf_dir):
+    return documents(spark, sf_dir).planned_terms(asked(spark, "thta wsa")).select("query_id", "grp", "term", "dist")
+
+
+_TYPED = """ahead AS (SELECT term, df FROM dict WHERE starts_with(term, 'wa')),
+q AS (SELECT 0 AS query_id, 0 AS grp, 'that' AS term, 0 AS dist, 3 AS pen, 2 AS n UNION ALL SELECT 0, 1, term, 0, 3, 2 FROM ahead QUALIFY row_number() OVER (ORDER BY df, term) <= 16)"""
 
 
-@add("typeahead")
+@add("typeahead", _ranked(_TYPED, anchor="head = 'that'"))
 def _typeahead(spark, sf_dir):
-    return _hits(documents(spark, sf_dir).search(asked(spark, "that wa", "und is"), 10, typing=True))
+    return _hits(documents(spark, sf_dir).search(asked(spark, "that wa"), 10, typing=True))
 
 
 @add("learned_expansion", f"""WITH {_POST}, s AS (SELECT lang, count(*) AS size FROM tok GROUP BY lang), i AS (SELECT lang, term, count(*) AS n FROM tf JOIN tok USING (doc_id) GROUP BY ALL),
@@ -236,16 +396,40 @@ def _learned(spark, sf_dir):
     return documents(spark, sf_dir).learned("lang")
 
 
-@add("label_vote")
+@add("expanded_plan", f"""WITH {_POST}, s AS (SELECT lang, count(*) AS size FROM tok GROUP BY lang), i AS (SELECT lang, term, count(*) AS n FROM tf JOIN tok USING (doc_id) GROUP BY ALL),
+l AS (SELECT lang AS value, term, round((i.n / size) / (df / st.n + 1e-9), 9) AS lift FROM i JOIN s USING (lang) JOIN dict USING (term), st WHERE i.n >= greatest(2, least(5, floor(size / 4))))
+SELECT term, 1 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY lift DESC, term) AS r FROM l) WHERE r <= 8 AND term <> value AND value = 'de'""")
+def _expanded(spark, sf_dir):
+    """A query that is a learned value has the value's words as alternatives."""
+    return documents(spark, sf_dir).with_expansion("lang").planned_terms(asked(spark, "de")).filter("dist = 1").select("term", "dist")
+
+
+@add("label_vote", "WITH h AS (" + _ranked(_exactly(_WORDS), select="query_id, lang") + """), v AS (SELECT query_id, lang, count(*) AS n FROM h GROUP BY ALL)
+SELECT query_id, lang AS label, round(n / sum(n) OVER (PARTITION BY query_id), 9) AS share FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, lang) = 1""")
 def _vote(spark, sf_dir):
     return strings.label_vote(documents(spark, sf_dir).search(asked(spark, *_TEXTS), 10), "lang")
 
 
-@add("key_promotion")
+@add("key_promotion", "WITH h AS (" + _ranked(_exactly({0: ["that", "was"]}), select="query_id, rank, doc_id, score, bucket") + """),
+p AS (SELECT 0 AS query_id, 17 AS doc_id), b AS (SELECT 0 AS query_id, 0 AS place, 17 AS doc_id, coalesce((SELECT score FROM h WHERE doc_id = 17), 0) AS score, coalesce((SELECT bucket FROM h WHERE doc_id = 17), 0) AS bucket UNION ALL SELECT query_id, rank, doc_id, score, bucket FROM h WHERE doc_id <> 17)
+SELECT query_id, row_number() OVER (ORDER BY place) AS rank, doc_id, round(score, 6) AS score, bucket FROM b QUALIFY rank <= 10""")
 def _promote(spark, sf_dir):
-    index = Index.build(table(spark, sf_dir, "part").withColumn("sku", F.concat(F.lit("P-"), "p_partkey")), [Field("p_name", 3.0, 0.4), Field("p_type", 1.0, 0.6)], "p_partkey")
-    queries = asked(spark, "P-17", "part")
-    return index.promote(index.search(queries, 10), queries, "sku", 10)
+    from dataclasses import replace
+
+    tables = documents(spark, sf_dir)
+    keyed = replace(tables, docs=tables.docs.withColumn("sku", F.when(F.col("doc_id") == 17, "that was")), key="sku")
+    queries = asked(spark, "that was")
+    return _hits(keyed.promote(keyed.search(queries, 10), queries, 10))
+
+
+# a word's places: where the folded text has it between signs that aren't letters or digits
+@add("highlight", f"""WITH f AS (SELECT doc_id, {_FOLDED} AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, length(t) - 2)) AS i FROM f WHERE contains(t, 'that')),
+h AS (SELECT doc_id, list(i - 1 ORDER BY i) AS starts FROM p WHERE substr(t, i, 4) = 'that' AND NOT regexp_matches(substr(t, greatest(i - 1, 1), CASE WHEN i = 1 THEN 0 ELSE 1 END), '[a-z0-9ß]') AND NOT regexp_matches(substr(t, i + 4, 1), '[a-z0-9ß]') GROUP BY doc_id)
+SELECT f.doc_id, coalesce(sha256(array_to_string(starts, ',')), sha256('')) AS starts FROM f LEFT JOIN h USING (doc_id)""")
+def _highlight(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("query_id"))
+    spans = documents(spark, sf_dir).highlight(rows, asked(spark, "that"), "text")
+    return spans.select("doc_id", F.sha2(F.array_join(F.transform("spans", lambda s: s["start"].cast("string")), ","), 256).alias("starts"))
 
 
 @add("fold_text", f"SELECT doc_id, sha256(lower(translate(text, '{T.FROM}', '{T.TO}'))) AS folded FROM documents")
@@ -268,9 +452,14 @@ def _forms(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", T.ligature(w).alias("ligature"), F.array_join(T.number_forms(w), ",").alias("forms"))
 
 
-@add("alias_apply", "SELECT n_nationkey, 'milk coffee powder 500ml' AS analysed FROM nation")
+_ALIASES = T.grocery_aliases() | {"blue": "asul", "green": "berde"}
+
+
+@add("alias_apply", f"""WITH a(f, t) AS (VALUES {", ".join(f"('{f}', '{t}')" for f, t in sorted(_ALIASES.items()))}), {_TOK.replace("doc_id, lang, n_chars", "item_id").replace("FROM documents", "FROM benchmark")},
+u AS (SELECT item_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM tok)
+SELECT item_id, sha256(string_agg(coalesce(CASE WHEN regexp_matches(x, '[0-9]') THEN x ELSE t END, x), ' ' ORDER BY i)) AS analysed FROM u LEFT JOIN a ON f = x GROUP BY item_id""")
 def _alias(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(T.tokens(F.concat(F.lit("GATAS kapeng pwdr 0,5 L "), F.lit("")), T.grocery_aliases()), " ").alias("analysed"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.array_join(T.tokens(F.col("text"), _ALIASES), " "), 256).alias("analysed"))
 
 
 # fusion

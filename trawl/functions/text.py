@@ -1,6 +1,6 @@
 """The analyzer as column expressions: fold, tokens, exact quantities, aliases, word forms.
 
-Everything here stays in the JVM. `tokens` gives the same array at index and at query time.
+Everything here stays in the JVM. `tokens` gives the same array for documents and for queries.
 """
 
 from __future__ import annotations
@@ -131,6 +131,25 @@ def number_forms(word: Column) -> Column:
     return F.when(word.rlike("^[a-z]{3,}$"), F.filter(forms, lambda f: F.length(f) >= 2)).otherwise(F.array().cast("array<string>"))
 
 
+def number_forms_of(word: str) -> list[str]:
+    """number_forms of one string."""
+    if len(word) < 3 or not (word.isascii() and word.isalpha() and word.islower()):
+        return []
+    if word.endswith("ies"):
+        forms = [word[:-3] + "y"]
+    elif word.endswith("es"):
+        forms = [word[:-2], word[:-1]]
+    elif word.endswith("s") and not word.endswith("ss"):
+        forms = [word[:-1]]
+    elif word[-1] == "y" and word[-2] not in "aeiou":
+        forms = [word[:-1] + "ies", word + "s"]
+    elif word.endswith(("ch", "sh", "x", "z", "s", "o")):
+        forms = [word + "es", word + "s"]
+    else:
+        forms = [word + "s"]
+    return [f for f in forms if len(f) >= 2]
+
+
 def edit_budget(token: Column) -> Column:
     """Typos allowed by the length of the query word: none up to 3 characters, one up to 7, else two."""
     return F.when(is_numeric(token) | (F.length(token) <= 3), 0).when(F.length(token) <= 7, 1).otherwise(2)

@@ -34,6 +34,11 @@ def quantity(token: str) -> str | None:
 
 
 def words(text: str | None, aliases: dict[str, str] | None = None) -> list[str]:
+    return [w for w, _ in words_and_aliased(text, aliases)]
+
+
+def words_and_aliased(text: str | None, aliases: dict[str, str] | None = None) -> list[tuple[str, bool]]:
+    """The words of a text, and whether the alias table put each in the place of another."""
     joined = regex.sub(r"(?<=[0-9])[,-](?=[0-9])", ".", fold(text or ""))
     out: list[str] = []
     for token in _TOKEN.findall(joined):
@@ -41,7 +46,33 @@ def words(text: str | None, aliases: dict[str, str] | None = None) -> list[str]:
             out[-1] = sized
         else:
             out.append(quantity(token) or token)
-    return [t if any(c in "0123456789" for c in t) else (aliases or {}).get(t, t) for t in out]
+    made = [t if any(c in "0123456789" for c in t) else (aliases or {}).get(t, t) for t in out]
+    return [(w, w != t) for w, t in zip(made, out, strict=True)]
+
+
+def fold_with_origin(text: str) -> tuple[str, list[int]]:
+    """The folded text, and for each of its characters the place of the one it comes from."""
+    out: list[str] = []
+    origin: list[int] = []
+    for i, c in enumerate(text):
+        for x in "" if "\u0300" <= c <= "\u036f" else c.translate(_FOLD).lower():
+            out.append(x)
+            origin.append(i)
+    return "".join(out), origin
+
+
+def spans(text: str | None, aliases: dict[str, str] | None = None) -> list[tuple[str, int, int]]:
+    """The words of a text with the characters they stand for (start, end); a merged quantity has both halves."""
+    folded, origin = fold_with_origin(text or "")
+    joined = regex.sub(r"(?<=[0-9])[,-](?=[0-9])", ".", folded)
+    out: list[tuple[str, int, int]] = []
+    for found in _TOKEN.finditer(joined):
+        token, start, end = found[0], origin[found.start()], origin[found.end() - 1] + 1
+        if out and token.isascii() and token.isalpha() and regex.fullmatch(r"[0-9.]+", out[-1][0]) and (sized := quantity(out[-1][0] + token)):
+            out[-1] = (sized, out[-1][1], end)
+        else:
+            out.append((quantity(token) or token, start, end))
+    return [(t if any(c in "0123456789" for c in t) else (aliases or {}).get(t, t), a, b) for t, a, b in out]
 
 
 @dataclass
