@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import cos, pi, sin
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
@@ -469,8 +470,6 @@ b AS (SELECT p_partkey AS doc_id, p_size::DOUBLE AS score, row_number() OVER (OR
 
 
 def _arms(spark, sf_dir):
-    from pyspark.sql import Window
-
     part = table(spark, sf_dir, "part")
     out = []
     for column in ("p_retailprice", "p_size"):
@@ -494,14 +493,26 @@ def _convex(spark, sf_dir):
     return fusion.convex(a.drop("rank"), b.drop("rank"), 0.7, 20)
 
 
-@add("fused")
+def _unit(arm: str) -> str:
+    return f"(SELECT doc_id, CASE WHEN (SELECT max(score) > min(score) FROM {arm}) THEN (score - (SELECT min(score) FROM {arm})) / (SELECT max(score) - min(score) FROM {arm}) WHEN (SELECT count(*) FROM {arm}) = 1 THEN 1.0 ELSE 0.0 END AS s FROM {arm})"
+
+
+@add("fused", f"""WITH {_ARMS}, u AS (SELECT doc_id, s * 0.5::DOUBLE AS s, 'text' AS arm FROM {_unit('a')} UNION ALL SELECT doc_id, s * 0.5::DOUBLE, 'vector' FROM {_unit('b')}), ok AS (SELECT p_partkey AS doc_id FROM part WHERE p_brand <> 'Brand#11')
+SELECT doc_id, round(sum(s), 12) AS score, count(DISTINCT arm) AS agreement, bool_or(arm = 'text') AS by_text, bool_or(arm = 'vector') AS by_vector FROM u WHERE doc_id IN (SELECT doc_id FROM ok) GROUP BY doc_id ORDER BY score DESC, agreement DESC, doc_id LIMIT 20""")
 def _fused(spark, sf_dir):
     a, b = _arms(spark, sf_dir)
     ok = table(spark, sf_dir, "part").filter(facet_clause("p_brand", exclude=["Brand#11"])).select(F.col("p_partkey").alias("doc_id"))
     return fusion.fused({"text": (a.drop("rank"), 0.5), "vector": (b.drop("rank"), 0.5)}, ok, 20)
 
 
-@add("hybrid_literal_first")
+def _literal(typed: str, limit: int) -> str:
+    w = "lower(n_name)"
+    tier = f"CASE WHEN {w} = '{typed}' THEN 0 WHEN starts_with({w}, '{typed}') THEN 1 WHEN contains({w}, ' {typed}') THEN 2 WHEN contains({w}, '{typed}') THEN 3 END"
+    return f"(SELECT label, row_number() OVER (ORDER BY tier, label) AS rank FROM (SELECT DISTINCT n_name AS label, {tier} AS tier FROM nation) WHERE tier IS NOT NULL QUALIFY rank <= {limit})"
+
+
+@add("hybrid_literal_first", f"""WITH u AS (SELECT label, rank, 0 AS arm FROM {_literal('in', 5)} UNION ALL SELECT label, rank, 1 FROM {_literal('a', 10)}),
+f AS (SELECT label, arm, rank FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY arm, rank) = 1) SELECT label, row_number() OVER (ORDER BY arm, rank, label) AS place FROM f QUALIFY place <= 8""")
 def _hybrid(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     return fusion.literal_first(fusion.literal_match(nation, "n_name", "in", 5), fusion.literal_match(nation, "n_name", "a", 10), 8)
@@ -577,20 +588,87 @@ def _truncate(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(vectors.truncate(F.col("embedding"), 16), F.lit(0)), 6).alias("lead"))
 
 
-@add("vector_three_tier")
-def _tiers(spark, sf_dir):
-    return vectors.search_tiers(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 10)
+def _tier_sql(metric: str) -> str:
+    sim = _METRIC_SQL[metric]
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id - 7 AS query_id, e AS p FROM v WHERE vec_id IN (7, 8)),
+a AS (SELECT query_id, vec_id, e, p FROM v, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_sum([((e[i] > 0) <> (p[i] > 0))::INT FOR i IN range(1, 65)]), vec_id) <= 80),
+s AS (SELECT *, list_max([abs(x) FOR x IN e]) / 127 AS z FROM a), c AS (SELECT *, [round(x / z) * z FOR x IN e] AS c FROM s),
+b AS (SELECT query_id, vec_id, e, p FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({sim.replace("(e,", "(c,")}, 12) DESC, vec_id) <= 20)
+SELECT query_id, vec_id AS id, round({sim}, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({sim}, 12) DESC, vec_id) AS rank FROM b QUALIFY rank <= 10"""
+
+
+def _probes(spark, sf_dir) -> list[list[float]]:
+    return [list(r.embedding) for r in table(spark, sf_dir, "embeddings").filter("vec_id IN (7, 8)").orderBy("vec_id").collect()]
+
+
+for _m in vectors.METRICS:
+
+    @add("vector_three_tier" + ("" if _m == "cosine" else f"_{_m}"), _tier_sql(_m))
+    def _tiers(spark, sf_dir, m=_m):
+        return vectors.search_tiers(table(spark, sf_dir, "embeddings"), _probes(spark, sf_dir), 10, metric=m).withColumn("score", F.round("score", 6))
+
+
+@add("vector_centre", "SELECT i - 1 AS i, round(avg(embedding[i]::DOUBLE), 6) AS m FROM embeddings, range(1, 65) t(i) GROUP BY i")
+def _centre(spark, sf_dir):
+    return spark.createDataFrame([(i, round(m, 6)) for i, m in enumerate(vectors.centre(table(spark, sf_dir, "embeddings")))], "i long, m double")
+
+
+@add("vector_recentred", """WITH c AS (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY i), l AS (SELECT list(m ORDER BY i) AS m FROM c)
+SELECT vec_id, list_sum([(embedding[i]::DOUBLE - m[i] > 0)::INT FOR i IN range(1, 65)])::BIGINT AS ones FROM embeddings, l""")
+def _recentred(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    bits = vectors.sign_bits(F.col("embedding"), F.array(*map(F.lit, vectors.centre(rows))))
+    return rows.select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w)).alias("ones"))
+
+
+@add("vector_checked", f"WITH {_V} SELECT vec_id, round(list_sum([abs(x) FOR x IN e]) / sqrt(list_dot_product(e, e)), 6) AS ones FROM v")
+def _checked(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.round(F.aggregate(vectors.checked(F.col("embedding"), 64), F.lit(0.0), lambda n, x: n + F.abs(x)), 6).alias("ones"))
+
 
+@add("vector_restored", f"WITH {_V}, c AS (SELECT vec_id, e, list_max([abs(x) FOR x IN e]) / 127 AS s FROM v) SELECT vec_id, round(list_max([abs(round(x / s) * s - x) FOR x IN e]), 6) AS off FROM c")
+def _restored(spark, sf_dir):
+    back = vectors.restored(vectors.int8_codes(F.col("embedding")))
+    off = F.array_max(F.zip_with(back, "embedding", lambda x, y: F.abs(x - y.cast("double"))))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(off, 6).alias("off"))
 
-@add("dbscan")
+
+for _m in ("cosine", "l2"):
+
+    @add(f"vector_separation_{_m}", f"WITH {_V} SELECT vec_id, round({'greatest(0, least(2, 1 - list_cosine_similarity(e, p)))' if _m == 'cosine' else 'list_distance(e, p)'}, 6) AS apart FROM v, q")
+    def _apart(spark, sf_dir, m=_m):
+        q = F.array(*(F.lit(float(x)) for x in _probe(spark, sf_dir)))
+        return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.separation(m, F.col("embedding"), q), 6).alias("apart"))
+
+
+# clusters: cores, the least core that each reaches, and border rows by their cores' least seed
+_DBSCAN = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE a.id <> b.id AND 1 - list_cosine_similarity(a.e, b.e) <= 0.62 + 1e-12),
+core AS MATERIALIZED (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 3),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+r(id, seed) AS (SELECT id, id FROM core UNION SELECT l.b, r.seed FROM r JOIN l ON l.a = r.id WHERE r.seed < l.b),
+seed AS (SELECT id, min(seed) AS seed FROM r GROUP BY id),
+border AS (SELECT p.a AS id, min(seed) AS seed FROM p JOIN seed ON p.b = seed.id WHERE p.a NOT IN (SELECT id FROM core) GROUP BY p.a),
+label AS (SELECT * FROM seed UNION ALL SELECT * FROM border), n AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS cluster FROM (SELECT DISTINCT seed FROM seed))"""
+
+
+@add("dbscan", f"{_DBSCAN} SELECT v.id, cluster FROM v LEFT JOIN label USING (id) LEFT JOIN n USING (seed)")
 def _dbscan(spark, sf_dir):
-    return vectors.dbscan(table(spark, sf_dir, "embeddings"), 0.3, 3)
+    return vectors.dbscan(table(spark, sf_dir, "embeddings"), 0.62, 3)
+
+
+@add("dbscan_clusters", f"{_DBSCAN} SELECT cluster, count(*) AS size, array_to_string(list(label.id ORDER BY label.id), ',') AS ids FROM label JOIN n USING (seed) GROUP BY cluster")
+def _clusters(spark, sf_dir):
+    return vectors.clusters(_dbscan(spark, sf_dir)).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
 # geo
 
 #: id, outer, corners: a square with a hole, a triangle that overlaps it, and an island.
 _RINGS = [(1, 0, True, [(10, 10), (60, 10), (60, 60), (10, 60)]), (1, 1, False, [(20, 20), (40, 20), (40, 40), (20, 40)]), (2, 0, True, [(50, 5), (95, 50), (50, 95)]), (3, 0, True, [(25, 25), (35, 25), (35, 35), (25, 35)])]
+# and stars with integer corners all over the plane
+_RINGS += [(10 + i, 0, True, [((i * 37) % 100 + round((4 + (i * k * 7) % 13) * cos(2 * pi * k / 9)), (i * 53) % 100 + round((4 + (i * k * 5) % 11) * sin(2 * pi * k / 9))) for k in range(9)]) for i in range(40)]
 _EDGE_ROWS = ", ".join(f"({p}, {r}, {str(o).lower()}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for p, r, o, c in _RINGS for a, b in zip(c, [*c[1:], c[0]], strict=True))
 
 
@@ -599,15 +677,136 @@ r AS (SELECT point_id, poly_id, ring, any_value(o) AS o, count(*) FILTER (WHERE
 p AS (SELECT point_id, poly_id FROM r GROUP BY ALL HAVING bool_or(o AND i) AND NOT bool_or(NOT o AND i))
 SELECT point_id, min(poly_id) AS poly_id FROM pt LEFT JOIN p USING (point_id) GROUP BY point_id""")
 def _pip(spark, sf_dir):
-    rings = spark.createDataFrame([(p, r, o, [(float(x), float(y)) for x, y in c]) for p, r, o, c in _RINGS], "poly_id int, ring int, outer boolean, points array<struct<x:double,y:double>>")
-    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), ((F.col("c_custkey") * 37) % 1000 / 10.0).alias("x"), ((F.col("c_custkey") * 91) % 1000 / 10.0).alias("y"))
-    return geo.locate(points, rings, 16.0)
+    return geo.locate(_points(spark, sf_dir), _rings(spark), 4.0)
+
+
+def _rings(spark):
+    return spark.createDataFrame([(p, r, o, [(float(x), float(y)) for x, y in c]) for p, r, o, c in _RINGS], "poly_id int, ring int, outer boolean, points array<struct<x:double,y:double>>")
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), ((F.col("c_custkey") * 37) % 1000 / 10.0).alias("x"), ((F.col("c_custkey") * 91) % 1000 / 10.0).alias("y"))
+
+
+@add("locate_stored", ORACLES["point_in_polygon"])
+def _stored(spark, sf_dir):
+    """The same from cells that were written and read again."""
+    from trawl.operators.graph import new_path
+
+    path = new_path(spark, "cells")
+    geo.write_cells(_rings(spark), 8.0, path)
+    rings, made, size = geo.read_cells(spark, path)
+    return geo.locate(_points(spark, sf_dir), rings, size, made=made)
+
 
+@add("polygon_boxes", f"WITH e(poly_id, ring, o, x1, y1, x2, y2) AS (VALUES {_EDGE_ROWS}) SELECT poly_id, min(x1)::DOUBLE AS x1, min(y1)::DOUBLE AS y1, max(x1)::DOUBLE AS x2, max(y1)::DOUBLE AS y2 FROM e GROUP BY poly_id")
+def _boxes(spark, sf_dir):
+    return geo.boxes(_rings(spark))
 
-@add("viewport", "SELECT * FROM (VALUES (1), (2), (3)) t(poly_id)")
+
+# cells that an edge crosses: the part of the edge between a cell's sides reaches into its rows
+@add("border_cells", f"""WITH e(poly_id, ring, o, x1, y1, x2, y2) AS (VALUES {_EDGE_ROWS}), c AS (SELECT *, unnest(range(floor(least(x1, x2) / 4.0)::BIGINT, floor(greatest(x1, x2) / 4.0)::BIGINT + 1)) AS cx FROM e),
+d AS (SELECT *, greatest(least(x1, x2), cx * 4.0)::DOUBLE AS a, least(greatest(x1, x2), (cx + 1) * 4.0)::DOUBLE AS b FROM c),
+f AS (SELECT poly_id, cx, CASE WHEN x1 = x2 THEN least(y1, y2) ELSE least(y1 + (y2 - y1) * (a - x1) / (x2 - x1), y1 + (y2 - y1) * (b - x1) / (x2 - x1)) END AS lo, CASE WHEN x1 = x2 THEN greatest(y1, y2) ELSE greatest(y1 + (y2 - y1) * (a - x1) / (x2 - x1), y1 + (y2 - y1) * (b - x1) / (x2 - x1)) END AS hi FROM d)
+SELECT DISTINCT poly_id, cx, unnest(range(floor((lo - 4e-9) / 4)::BIGINT, floor((hi + 4e-9) / 4)::BIGINT + 1)) AS cy FROM f""")
+def _border(spark, sf_dir):
+    return geo.border_cells(_rings(spark), 4.0)
+
+
+@add("hilbert_keys", "SELECT c_custkey, (c_custkey % 4) * 0 + CASE c_custkey % 16 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 14 WHEN 3 THEN 15 WHEN 4 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 13 WHEN 7 THEN 12 WHEN 8 THEN 4 WHEN 9 THEN 7 WHEN 10 THEN 8 WHEN 11 THEN 11 WHEN 12 THEN 5 WHEN 13 THEN 6 WHEN 14 THEN 9 ELSE 10 END AS key FROM customer")
+def _hilbert(spark, sf_dir):
+    """Places of the 16 cells of a 4 x 4 grid on the curve."""
+    n = F.col("c_custkey") % 16
+    return table(spark, sf_dir, "customer").select("c_custkey", geo.hilbert_key(n % 4, F.floor(n / 4), 2).alias("key"))
+
+
+_VIEW = (30, 30, 55, 55)
+
+
+@add("viewport", f"WITH e(poly_id, ring, o, x1, y1, x2, y2) AS (VALUES {_EDGE_ROWS}), b AS (SELECT poly_id, min(x1) AS x1, min(y1) AS y1, max(x1) AS x2, max(y1) AS y2 FROM e GROUP BY poly_id) SELECT poly_id FROM b WHERE x1 <= {_VIEW[2]} AND x2 >= {_VIEW[0]} AND y1 <= {_VIEW[3]} AND y2 >= {_VIEW[1]}")
 def _view(spark, sf_dir):
-    rings = spark.createDataFrame([(p, r, o, [(float(x), float(y)) for x, y in c]) for p, r, o, c in _RINGS], "poly_id int, ring int, outer boolean, points array<struct<x:double,y:double>>")
-    return geo.in_view(rings, 16.0, 30, 30, 55, 55)
+    """Polygons whose box meets the view."""
+    x1, y1, x2, y2 = (F.lit(v) for v in _VIEW)
+    return geo.boxes(_rings(spark)).filter(geo.box_hits(x1, y1, x2, y2)).select("poly_id")
+
+
+@add("viewport_cells")
+def _view_cells(spark, sf_dir):
+    return geo.in_view(_rings(spark), 4.0, *_VIEW)
+
+
+# colours
+
+_COLOUR = "SELECT p_partkey, (p_partkey * 37) % 256 AS r, (p_partkey * 91) % 256 AS g, (p_partkey * 53) % 256 AS b FROM part"
+_LINEAR = "CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
+
+
+def _sum_sql(rows, names) -> list[str]:
+    return [" + ".join(f"{k}::DOUBLE * {n}" for k, n in zip(row, names, strict=True)) for row in rows]
+
+
+_CONE = _sum_sql(images.TO_CONE, ("lr", "lg", "lb"))
+_LAB = _sum_sql(images.TO_LAB, ("c1", "c2", "c3"))
+_COLOURS = f"""c0 AS ({_COLOUR}), c1 AS (SELECT *, {', '.join(f"{_LINEAR.format(c=c)} AS l{c}" for c in 'rgb')} FROM c0), c2 AS (SELECT *, {', '.join(f'cbrt({x}) AS c{i}' for i, x in enumerate(_CONE, 1))} FROM c1),
+lab AS (SELECT p_partkey, r, g, b AS blue, {', '.join(f'{x} AS {n}' for x, n in zip(_LAB, 'lab', strict=True))} FROM c2), lch AS (SELECT *, sqrt(a * a + b * b) AS ch, (degrees(atan2(b, a)) + 720) % 360 AS h FROM lab),
+named AS (SELECT *, CASE WHEN ch < 0.04 THEN [{', '.join(repr(x) for x in images.NEUTRAL_NAMES)}][1 + (l >= 0.2)::INT + (l >= 0.4)::INT + (l >= 0.62)::INT + (l >= 0.85)::INT]
+  ELSE [{', '.join(repr(x) for x in images.HUE_NAMES)}][1 + least(11, floor(((h + 345) % 360) / 30))::INT] || '-' || ['dark', 'mid', 'light'][1 + (l >= 0.45)::INT + (l >= 0.72)::INT] || '-' || ['muted', 'vivid'][1 + (ch >= 0.12)::INT] END AS name FROM lch)"""
+
+
+def _colours(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", *((F.col("p_partkey") * k % 256).alias(n) for k, n in ((37, "r"), (91, "g"), (53, "blue"))))
+    lab = images.oklab(F.col("r"), F.col("g"), F.col("blue"))
+    return rows.select("*", *(c.alias(n) for c, n in zip(lab, "lab", strict=True)))
+
+
+@add("colour_names", f"WITH {_COLOURS} SELECT p_partkey, 'col:' || name AS name, round(ch, 6) AS chroma, round(h, 3) AS hue FROM named")
+def _colour_names(spark, sf_dir):
+    lab = [F.col(c) for c in "lab"]
+    _, chroma, hue = images.oklch(*lab)
+    return _colours(spark, sf_dir).select("p_partkey", images.bucket_name(images.colour_bucket(*lab)).alias("name"), F.round(chroma, 6).alias("chroma"), F.round(hue, 3).alias("hue"))
+
+
+@add("colour_round_trip", f"{_COLOUR}")
+def _colour_back(spark, sf_dir):
+    r, g, b = images.oklab_to_srgb(*(F.col(c) for c in "lab"))
+    return _colours(spark, sf_dir).select("p_partkey", r.cast("long").alias("r"), g.cast("long").alias("g"), b.cast("long").alias("b"))
+
+
+def _palettes(spark, sf_dir):
+    swatch = F.struct("l", "a", "b", (F.lit(1.0) / F.col("n")).alias("weight"))
+    rows = _colours(spark, sf_dir).withColumn("doc", F.floor(F.col("p_partkey") / 4)).withColumn("n", F.count("*").over(Window.partitionBy("doc")))
+    return rows.groupBy("doc").agg(F.collect_list(swatch).alias("palette"))
+
+
+@add("palette_terms", f"WITH {_COLOURS}, d AS (SELECT floor(p_partkey / 4)::BIGINT AS doc, name, count(*) OVER (PARTITION BY floor(p_partkey / 4)) AS n FROM named) SELECT doc, 'col:' || name AS term, round(sum(1.0::DOUBLE / n), 9) AS weight FROM d GROUP BY ALL")
+def _palette_terms(spark, sf_dir):
+    return images.palette_terms(_palettes(spark, sf_dir), "doc", "palette")
+
+
+@add("palette_distance", f"""WITH {_COLOURS}, s AS (SELECT floor(p_partkey / 4)::BIGINT AS doc, l, a, b, 1.0::DOUBLE / count(*) OVER (PARTITION BY floor(p_partkey / 4)) AS w FROM lab), q AS (SELECT * FROM s WHERE doc = 3),
+x AS (SELECT s.doc, s.l, s.a, s.b, s.w, min(sqrt((s.l - q.l) ** 2 + (s.a - q.a) ** 2 + (s.b - q.b) ** 2)) AS d FROM s, q GROUP BY ALL),
+y AS (SELECT s.doc, q.l, q.a, q.b, q.w, min(sqrt((s.l - q.l) ** 2 + (s.a - q.a) ** 2 + (s.b - q.b) ** 2)) AS d FROM s, q GROUP BY ALL)
+SELECT doc, round((u + v) / 2, 6) AS distance FROM (SELECT doc, sum(w * d) AS u FROM x GROUP BY doc) JOIN (SELECT doc, sum(w * d) AS v FROM y GROUP BY doc) USING (doc)""")
+def _palette_distance(spark, sf_dir):
+    rows = _palettes(spark, sf_dir)
+    probe = rows.filter("doc = 3").select(F.col("palette").alias("probe"))
+    return rows.join(F.broadcast(probe)).select("doc", F.round(images.palette_distance(F.col("palette"), F.col("probe")), 6).alias("distance"))  # one row
+
+
+@add("image_documents", "SELECT doc_id, vec_id IS NOT NULL AS has_embedding FROM documents LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON doc_id = vec_id")
+def _image_documents(spark, sf_dir):
+    return images.image_documents(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings")).select("doc_id", "has_embedding")
+
+
+@add("first_of_digest", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS duplicate_of FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL")
+def _first(spark, sf_dir):
+    return images.first_of_digest(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest")), "digest", "doc_id").select("doc_id", "duplicate_of")
+
+
+@add("near_slice", "SELECT doc_id FROM documents WHERE bit_count(xor(doc_id * 2654435761, 123456789)) + bit_count(xor(doc_id * 40503, 987654321)) <= 30")
+def _near_slice(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array(F.col("doc_id") * 2654435761, F.col("doc_id") * 40503).alias("h"))
+    return images.near_slice(rows, "h", [123456789, 987654321], 30).select("doc_id")
 
 
 # duplicates, hashes, strings, sources

@@ -29,13 +29,46 @@ def score(metric: str, a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def sign_bits(v: Column) -> Column:
-    """One bit a dimension (value > 0), packed in longs of 32 dimensions, the first dimension lowest."""
-    bits = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (i % 32).cast("int"))).otherwise(F.lit(0).cast("long")))
+def sign_bits(v: Column, centre: Column | None = None) -> Column:
+    """One bit a dimension (value over the centre's, or over 0), packed in longs of 32 dimensions, the first dimension lowest."""
+    above = v if centre is None else F.zip_with(v, centre, lambda x, c: x.cast("double") - c)
+    bits = F.transform(above, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (i % 32).cast("int"))).otherwise(F.lit(0).cast("long")))
     words = F.sequence(F.lit(0), F.ceil(F.size(v) / 32).cast("int") - 1)
     return F.transform(words, lambda w: F.aggregate(F.slice(bits, w * 32 + 1, F.lit(32)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)))
 
 
+def checked(v: Column, dims: int, metric: str = "cosine") -> Column:
+    """The vector as it is stored: of length 1 for cosine (zero vectors stay). Another size or a non-finite value fails; null stays null."""
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    size = F.sqrt(dot(v, v))
+    unit = F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x.cast("double"))) if metric == "cosine" else F.transform(v, lambda x: x.cast("double"))
+    return F.when(v.isNull(), F.lit(None)).when(F.size(v) != dims, F.raise_error(F.lit(f"a vector hasn't {dims} dimensions")).cast("array<double>")).when(bad, F.raise_error(F.lit("a vector isn't finite")).cast("array<double>")).otherwise(unit)
+
+
+def centre(vectors: DataFrame, vec_col: str = "embedding") -> list[float]:
+    """The mean vector: one number a dimension."""
+    each = vectors.select(F.posexplode(vec_col).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return [r.m for r in each.orderBy("i").collect()]
+
+
+def restored(codes: Column) -> Column:
+    """The vector that int8 codes and their scale stand for."""
+    return F.transform(codes["codes"], lambda c: c * codes["scale"])
+
+
+def tier_bytes(rows: int, dims: int, exact: bool = True) -> dict[str, int]:
+    """Bytes of each tier of a column: sign bits in words of 64, int8 codes, scales, and the floats if they are kept."""
+    return {"bits": rows * -(-dims // 64) * 8, "codes": rows * dims, "scales": rows * 4, "exact": rows * dims * 4 * exact}
+
+
+def separation(metric: str, a: Column, b: Column) -> Column:
+    """Distance: for cosine 1 less the cosine, within 0 and 2, and 1 for a zero vector; else Euclidean."""
+    if metric != "cosine":
+        return F.sqrt(-score("l2", a, b))
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / size))).otherwise(1.0)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -93,13 +126,35 @@ def search_exact(vectors: DataFrame, queries: Sequence[Sequence[float]], k: int,
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search_tiers(vectors: DataFrame, query: Sequence[float], k: int, oversample: int = 8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Cosine search in three steps: sign bits for k * oversample rows, int8 codes for 2 k of them, exact scores for k."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    short = rows.withColumn("d", hamming(sign_bits(F.col("v")), sign_bits(q))).orderBy("d", "id").limit(k * oversample)
-    coded = short.withColumn("c", int8_codes(F.col("v"))).withColumn("s8", score("cosine", F.col("c.codes"), q)).orderBy(F.col("s8").desc(), "id").limit(2 * k)
-    return coded.withColumn("score", score("cosine", F.col("v"), q)).orderBy(F.col("score").desc(), "id").limit(k).select("id", "score")
+def search_tiers(vectors: DataFrame, queries: Sequence[Sequence[float]], k: int, oversample: int = 8, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", about: Sequence[float] | None = None) -> DataFrame:
+    """query_id, rank, id, score of the best rows in three steps: sign bits (about a centre, if given) for k * oversample
+    rows a query, int8 codes for 2 k of them, exact scores for k. Where the first step would keep every row it is left out.
+
+    Queries are a stated set that goes to all rows; each task keeps its best of a step before anything is shuffled.
+    """
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    asked = F.broadcast(vectors.sparkSession.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], "query_id long, q array<double>"))
+    middle = F.array(*map(F.lit, about)) if about is not None else None
+
+    def best(df: DataFrame, n: int, *by: Column) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "id"))).filter(F.col("rank") <= n)
+
+    pairs = rows.withColumn("bits", sign_bits(F.col("v"), middle)).join(asked.withColumn("qbits", sign_bits(F.col("q"), middle)))
+    if k * oversample < rows.count():
+        pairs = best(pairs.withColumn("d", hamming(F.col("bits"), F.col("qbits"))), k * oversample, F.col("d"))
+    coded = pairs.withColumn("c", restored(int8_codes(F.col("v"))))
+    coded = best(coded.withColumn("s8", F.round(score(metric, F.col("c"), F.col("q")), 12)), 2 * k, F.col("s8").desc())
+    exact = best(coded.withColumn("score", F.round(score(metric, F.col("v"), F.col("q")), 12)), k, F.col("score").desc())
+    return exact.select("query_id", "rank", "id", "score")
+
+
+def clusters(labels: DataFrame) -> DataFrame:
+    """cluster, size, ids of each cluster of dbscan's result."""
+    return labels.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def noise_count(labels: DataFrame) -> DataFrame:
+    return labels.agg(F.count(F.when(F.col("cluster").isNull(), 1)).alias("noise"))
 
 
 def dbscan(vectors: DataFrame, max_distance: float, min_neighbours: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048) -> DataFrame:
