@@ -4,8 +4,8 @@ A document is its set of distinct word shingles. Equal sets are one class. A cla
 MinHash values. Two sets of similarity t differ in each value with probability 1 - t, so a bound on the signature
 distance holds but for a chance that `distance_plan` keeps under `miss`. The signature is split into m chunks; by
 pigeonhole two signatures within m * (e + 1) - 1 differences have a chunk with at most e of them. All ways to leave
-out e values of a chunk are enumerated, and equal rests are keys: every pair within the bound meets on one.
-Candidates are confirmed on the full sets, and confirmed links joined into components.
+out e values of a chunk are enumerated, and equal rests are keys: every pair within the bound meets on one, and
+every such pair is decided on the full sets (see _simjoin). Confirmed links are joined into components.
 """
 
 from __future__ import annotations
@@ -21,14 +21,10 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._components import connected_components
-from ._simjoin import filtered, key_of, permuted_minima, similar_components, tail_bound
-from ._spark import cut, groups_for
+from ._simjoin import KEYED, filtered, key_of, keyed_rows, permuted_minima, similar_components
+from ._spark import cut, drop, groups_for
 
 CHUNK, ERRORS = 5, 1
-#: Values of a signature: those of the keys, those that split large groups, and more for a sharp distance bound.
-WIDTH = 256
-#: Values of the sketch of documents in crowded groups: at 85 %, pairs of under 80 % seldom pass.
-SKETCH = 2048
 
 
 def distance_plan(percent: int, miss: float = 2e-5) -> tuple[int, int]:
@@ -41,11 +37,11 @@ def distance_plan(percent: int, miss: float = 2e-5) -> tuple[int, int]:
     raise ValueError(f"no plan for a similarity of {percent} %")
 
 
-def _keys(chunks: int, at: int):
+def _keys(chunks: int):
     masks = list(combinations(range(CHUNK), CHUNK - ERRORS))
 
     def keys(sig: np.ndarray) -> np.ndarray:
-        return np.stack([key_of(sig[:, [at + c * CHUNK + k for k in mask]], 1 + c * len(masks) + i) for c in range(chunks) for i, mask in enumerate(masks)], 1)
+        return np.stack([key_of(sig[:, [c * CHUNK + k for k in mask]], 1 + c * len(masks) + i) for c in range(chunks) for i, mask in enumerate(masks)], 1)
 
     return keys
 
@@ -55,7 +51,7 @@ def _first_tag(chunks: int):
     without = np.array([next(i for i, m in enumerate(masks) if p not in m) for p in range(CHUNK)])
 
     def first(differ: np.ndarray) -> np.ndarray:
-        parts = differ[:, : chunks * CHUNK].reshape(-1, chunks, CHUNK)
+        parts = differ.reshape(-1, chunks, CHUNK)
         wrong = parts.sum(2)
         ok = wrong <= ERRORS
         c = ok.argmax(1)
@@ -122,45 +118,62 @@ def _setter(size: int):
         for block in A.blocks(batches):
             hashes, begin = shingles(block, size)
             sets = [np.unique(hashes[x:y]) for x, y in zip(begin, begin[1:], strict=False) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "size", "hashes"])
 
     return make
 
 
+def _keyer(chunks: int, groups: int):
+    keys = _keys(chunks)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                yield part.column("id").to_numpy(), keys(np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, chunks * CHUNK))
+
+    return lambda batches: keyed_rows(parts(batches), groups)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, n_shingles, component_id (the least id that links lead to), kept.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets (A-Z lower-cased, words
-    are runs of bytes other than ASCII white space). A null or wordless text has no shingles and no link. Rows of a
-    null id have a null component and are kept. Rows that repeat an id are one document; its component joins what
-    any of its texts is linked with, and each of its rows has the same verdict.
+    are runs of bytes other than ASCII white space). A null or wordless text has no shingles and no link, and its row
+    is its own component. Rows of a null id have a null component and are kept. Rows that repeat an id are one
+    document: each of its texts leads to what any of them is linked with. An empty table gives no rows; columns
+    besides id and text are left out, so none can clash.
     """
     chunks, bound = distance_plan(percent)
-    width = max(2 * CHUNK * chunks, WIDTH)
-    most = tail_bound(width, 1 - percent / 100, 1e-6)
-    groups = groups_for(docs, 8 << 20, text_col)
+    width = chunks * CHUNK
+    groups = groups_for(docs, 64 << 20, text_col)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(read.mapInArrow(_signer(shingle, width), "id long, size long, class long, sig binary"))
     some = signed.filter("size > 0 AND id IS NOT NULL")
     # Equal sets are one class, and classes are what is compared; the least id of a class finds its text again.
-    classes = some.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    classes = cut(classes)
-    items = classes.select(F.col("class").alias("id"), "size", "sig")
+    classes = cut(some.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")))
+    items = classes.select(F.col("class").alias("id"), "sig")
 
     def sets(ids: DataFrame) -> DataFrame:
-        reps = classes.join(ids, F.col("class") == F.col("id")).select(F.col("rep").alias("id")).distinct()
-        return filtered(read.filter("id IS NOT NULL"), reps, _setter(shingle), "id long, hashes binary").dropDuplicates(["id"])
+        ids = cut(ids)
+        reps = cut(classes.join(ids, F.col("class") == F.col("id")).select(F.col("rep").alias("id")).distinct())
+        made = filtered(read.filter("id IS NOT NULL"), reps, _setter(shingle), "id long, size long, hashes binary")
+        return made.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    labels = cut(similar_components(items, _keys(chunks, 0), _keys(chunks, CHUNK * chunks), _first_tag(chunks), sets, width, most, (percent, 100), groups, SKETCH))
+    labels, held = similar_components(items.mapInArrow(_keyer(chunks, groups), KEYED), sets, (percent, 100), bound=(items, width, bound, _first_tag(chunks)))
+    drop(held)
     # texts under one id link their classes
     shared = some.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select(F.col("id").alias("i"), "lo")
     shared = cut(some.select("id", "class").join(shared, F.col("id") == F.col("i")).filter("class <> lo").select(F.col("class").alias("a"), F.col("lo").alias("b")).distinct())
     if shared.limit(1).count():
-        labels = cut(connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(shared)))
-    placed = classes.select("class", "rep", "n").join(labels, F.col("class") == F.col("id"), "left").select("class", "rep", "n", F.coalesce("label", "class").alias("label"))
-    least = placed.groupBy(F.col("label").alias("of")).agg(F.min("rep").alias("l"))
-    placed = placed.join(least, F.col("label") == F.col("of")).filter("n > 1 OR rep <> l").select(F.col("class").alias("c"), "l")
-    named = some.select("id", "class").join(placed, F.col("class") == F.col("c")).filter("id <> l").select(F.col("id").alias("mid"), "l").groupBy("mid").agg(F.min("l").alias("l"))
-    out = signed.select("id", "size").withColumn("h", F.xxhash64("id")).join(named.withColumn("k", F.xxhash64("mid")), (F.col("id") == F.col("mid")) & (F.col("h") == F.col("k")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("l", "id").alias("component_id"), F.coalesce(F.coalesce("l", "id") == F.col("id"), F.lit(True)).alias("kept"))
-
+        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(shared))
+    reps = classes.select("class", "rep", "n")
+    linked = reps.join(labels, F.col("class") == F.col("id"))
+    least = linked.groupBy(F.col("label").alias("of")).agg(F.min("rep").alias("l"))
+    placed = linked.join(least, F.col("label") == F.col("of")).select(F.col("class").alias("c"), "l")
+    alone = reps.filter("n > 1").join(labels, F.col("class") == F.col("id"), "left_anti").select(F.col("class").alias("c"), F.col("rep").alias("l"))
+    placed = cut(placed.union(alone))
+    drop(classes, labels, shared)
+    out = signed.select("id", "size", "class").join(placed, F.col("class") == F.col("c"), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("l", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
