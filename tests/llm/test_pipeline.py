@@ -59,7 +59,38 @@ def test_stages(spark, corpus):
     after = {r.doc_id: r.text for r in stages["line_dedup"](spark, start, folder).collect()}
     assert 101 not in after
     assert all(after[i] == t for i, t in clean.items())
-    assert {(r.doc, r.line) for r in linededup.duplicate_lines(start).collect()} >= {(101, k) for k in range(6)}
+    assert {(r.doc, x) for r in linededup.duplicate_lines(start).collect() for x in r.lines} >= {(101, k) for k in range(6)}
     assert ids(stages["near_dedup"](spark, start, folder)) == set(docs) - {101, 102}
     assert ids(stages["decontaminate"](spark, start, folder)) == set(docs) - {103}
     assert ids(stages["encode"](spark, start, folder)) == set(docs)
+
+
+def test_odd_rows(spark, tmp_path):
+    """A long text, null and repeated ids, null, empty and repeated texts; and empty tables."""
+    rng = random.Random(5)
+    words = ["the", "of", "and", *("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000))]
+    prose = lambda n: " ".join(rng.choice(words) if rng.random() < 0.7 else rng.choice(words[:3]) for _ in range(n))
+    long, item, one, two = prose(20_000), prose(30), prose(200), prose(200)
+    rows = [(1, long), (2, one), (2, two), (2, two), (None, prose(150) + " " + item), (None, prose(150)), (3, None), (4, ""), (5, long), (6, prose(90) + "\n" + one)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, own in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, None, None, len(t) if t else None) for i, t in own], schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert [n for n, _ in got.dtypes] == ["doc_id", "n_tokens", "ids"]
+        ids = sorted(str(r.doc_id) for r in got.collect())
+        # 5 repeats 1; 6 loses its last line; of the rows of no id the one with the item goes; 3 and 4 fail the quality rules
+        assert ids == (["1", "2", "2", "2", "6", "None"] if own else [])
+
+
+def test_quality_filter_stays_above_its_lambdas(spark):
+    """No filter on the verdict below the projections, where it would be computed anew for each element of an array."""
+    from trawl.llm import quality
+
+    words = " ".join(f"the of {k}" for k in range(6000))
+    df = spark.createDataFrame([(1, words), (2, "x")], "doc_id long, text string")
+    kept = quality.keep(df)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter (isnotnull(kept") < plan.index("Generate") and plan.count("Filter (") == 1
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(df).filter("kept").collect()} == {1}

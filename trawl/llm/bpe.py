@@ -7,13 +7,16 @@ is the largest sum of such y's. Once that many bytes after a token are known, no
 emitted and forgotten: `Encoder` holds no more than a window, however long the text. `Decoder` is the state machine
 back from tokens to text.
 
-Short pre-tokens fit in the window as a whole. A batch of texts is encoded by its distinct pre-tokens, all merged at
-once in numpy (`encode_words`); longer ones go through `Encoder`. Both give what the tokenizer library gives.
+`Encoders` is the same transducer for many streams in step: each is fed a window of bytes at a time, all windows are
+merged at once in numpy, and each stream emits what has become stable, or all that it holds once its pre-token has
+ended. Every pre-token goes through it, a distinct one once for as long as a worker remembers it. Texts come in pieces
+(`text_pieces`) that end before a space, so a long text is neither encoded nor decoded as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -138,13 +141,17 @@ def merges(path: str) -> Merges:
     return Merges(rules(path))
 
 
-def encode_words(words: list[bytes], own: Merges) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of each pre-token, one after the other, and where each begins: all words merge at once."""
+def merge_all(words: list[bytes], ended: np.ndarray, own: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of each run of bytes, one after the other, and where each begins: all runs merge at once.
+
+    ended: whether a run's last byte is the last of its pre-token.
+    """
     data = np.frombuffer(b"".join(words), np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     symbols = own.inner[data]
     ends = np.cumsum(sizes)
-    symbols[ends[sizes > 0] - 1] = own.last[data[ends[sizes > 0] - 1]]
+    final = ends[(sizes > 0) & ended] - 1
+    symbols[final] = own.last[data[final]]
     word = np.repeat(np.arange(len(words)), sizes)
     done_symbols, done_words = [], []
     while len(symbols):
@@ -155,11 +162,11 @@ def encode_words(words: list[bytes], own: Merges) -> tuple[np.ndarray, np.ndarra
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         least = np.minimum.reduceat(rank, first)
         counts = np.diff(np.append(first, len(symbols)))
-        ended = np.repeat(least == NEVER, counts)
-        if ended.any():
-            done_symbols.append(symbols[ended])
-            done_words.append(word[ended])
-        hit = (rank == np.repeat(least, counts)) & ~ended
+        merged = np.repeat(least == NEVER, counts)
+        if merged.any():
+            done_symbols.append(symbols[merged])
+            done_words.append(word[merged])
+        hit = (rank == np.repeat(least, counts)) & ~merged
         run = np.flatnonzero(hit)
         if len(run):  # of touching pairs, which share a symbol, every other one from the left
             new = np.concatenate([[True], np.diff(run) != 1])
@@ -170,7 +177,7 @@ def encode_words(words: list[bytes], own: Merges) -> tuple[np.ndarray, np.ndarra
                 run = run[~odd]
         symbols = symbols.copy()
         symbols[run] = own.made[at[run]]
-        stay = ~ended
+        stay = ~merged
         stay[run + 1] = False
         symbols, word = symbols[stay], word[stay]
     if not done_words:
@@ -181,6 +188,44 @@ def encode_words(words: list[bytes], own: Merges) -> tuple[np.ndarray, np.ndarra
     return ids, np.searchsorted(word[order], np.arange(len(words) + 1))
 
 
+class Encoders:
+    """Token ids of many pre-tokens, each a stream that is fed `step` bytes at a time and holds a window besides them."""
+
+    def __init__(self, own: Merges, step: int | None = None):
+        self.own, self.reach = own, np.zeros(len(own.text), np.int64)
+        self.reach[list(own.reach)] = list(own.reach.values())
+        self.step = step or own.window
+
+    def run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, one after the other, and where each begins."""
+        fed, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)  # bytes given, and bytes not yet emitted
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        open_ = np.flatnonzero(sizes)
+        out, of = [], []
+        while len(open_):
+            fed[open_] = np.minimum(fed[open_] + self.step, sizes[open_])
+            ended = fed[open_] == sizes[open_]
+            ids, begins = merge_all([words[i][h:f] for i, h, f in zip(open_.tolist(), held[open_].tolist(), fed[open_].tolist(), strict=True)], ended, self.own)
+            stream = np.repeat(np.arange(len(open_)), np.diff(begins))
+            total = np.cumsum(self.own.bytes[ids])
+            end = total - np.concatenate([[0], total])[begins[stream]]  # of each token, in what its stream holds
+            firm = ended[stream] | (end + self.reach[ids] < (fed - held)[open_][stream])
+            # a stream emits up to its first token that isn't firm
+            loose = np.cumsum(~firm)
+            firm = loose == np.concatenate([[0], loose])[begins[stream]]
+            out.append(ids[firm])
+            of.append(open_[stream[firm]])
+            held[open_] += np.bincount(stream[firm], self.own.bytes[ids[firm]], minlength=len(open_)).astype(np.int64)
+            open_ = open_[~ended]
+        if not out:
+            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
+        ids, word = np.concatenate(out), np.concatenate(of)
+        if len(out) > 1:
+            order = np.argsort(word, kind="stable")
+            ids, word = ids[order], word[order]
+        return ids, np.searchsorted(word, np.arange(len(words) + 1))
+
+
 class Encoder:
     """Token ids of one pre-token that arrives in pieces; holds at most a window of bytes."""
 
@@ -217,11 +262,6 @@ class Encoder:
         return out
 
 
-def encode_long(word: bytes, own: Merges) -> list[int]:
-    encoder = Encoder(own)
-    return encoder.feed(word) + encoder.finish()
-
-
 class WordIds:
     """Ids of pre-tokens, kept between blocks; begins anew beyond `limit` words, so memory is bounded."""
 
@@ -231,13 +271,7 @@ class WordIds:
         self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        self.table.reach  # noqa: B018  sets window
-        long = {i: np.array(encode_long(w, self.table), np.int32) for i, w in enumerate(words) if len(w) > self.table.window}
-        ids, begins = encode_words([b"" if i in long else w for i, w in enumerate(words)] if long else words, self.table)
-        if long:
-            parts = [long.get(i, ids[x:y]) for i, (x, y) in enumerate(zip(begins, begins[1:], strict=False))]
-            ids, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return ids, begins
+        return Encoders(self.table).run(words)
 
     def find(self, distinct: list[bytes | int]) -> np.ndarray:
         """Where each distinct pre-token is; begins[i]:begins[i + 1] are its ids."""
@@ -289,11 +323,41 @@ class Decoder:
         return out if started else out[1:]
 
 
+#: Bytes of a piece of a long text.
+PIECE = 1 << 20
+#: Where a text may be cut: before a space that a word of ASCII follows, over which no rule of the tokenizer looks.
+_CUT = re.compile(rb" (?=[A-Za-z0-9])")
+
+
+def text_pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """The text in pieces of about `size` bytes, each but the first beginning with a space; longer where it can't be cut."""
+    at = 0
+    while len(text) - at > size:
+        found = _CUT.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def in_pieces(block: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """The block with whether its (only) text goes on in the next; one that holds a long text comes in pieces of it."""
+    if block.num_rows != 1 or len(value := block.column(text).cast(pa.binary())[0].as_py() or b"") <= PIECE:
+        yield block, False
+        return
+    at = block.schema.get_field_index(text)
+    made = list(text_pieces(value))
+    for k, piece in enumerate(made):
+        yield block.set_column(at, text, pa.array([piece.decode()], pa.string())), k < len(made) - 1
+
+
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = WordIds(rules(path))
         for block in A.blocks(batches):
-            ids, begins = own.block(block.column("text"))
+            found = [own.block(part.column("text")) for part, _ in in_pieces(block)]
+            ids, begins = found[0] if len(found) == 1 else (np.concatenate([i for i, _ in found]), np.array([0, sum(len(i) for i, _ in found)]))
             arrays = {n: block.column(n) for n in block.schema.names if n != "text"}
             arrays["ids"] = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
             arrays["n_tokens"] = pa.array(np.diff(begins), pa.int64())
@@ -334,17 +398,39 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
     return machine.feed(ids)
 
 
+#: Ids that the decoder is fed at a time.
+FED = 1 << 16
+
+
+class _Digest:
+    """Digests of one text's ids and of what they decode to, from ids that arrive in pieces."""
+
+    def __init__(self, machine: Decoder):
+        self.ids, self.text, self.count, self.machine = hashlib.sha256(), hashlib.sha256(), 0, machine
+        machine.started = False
+
+    def feed(self, ids: np.ndarray) -> None:
+        self.count += len(ids)
+        for at in range(0, len(ids), FED):
+            part = ids[at : at + FED]
+            self.ids.update(part.astype("<u4").tobytes())
+            self.text.update(self.machine.feed(part))
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WordIds(rules(path))
+        own, machine = WordIds(rules(path)), Decoder(rules(path))
         for block in A.blocks(batches):
-            ids, begins = own.block(block.column("text"))
-            hashes, decoded = [], []
-            for x, y in zip(begins, begins[1:], strict=False):
-                part = ids[x:y]
-                hashes.append(hashlib.sha256(part.astype("<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(decode_ids(part, path)).hexdigest())
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(begins), pa.int64()), pa.array(hashes), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            done: list[_Digest] = []
+            goes_on = False
+            for part, more in in_pieces(block):
+                ids, begins = own.block(part.column("text"))
+                for x, y in zip(begins, begins[1:], strict=False):
+                    if not goes_on:
+                        done.append(_Digest(machine))
+                    done[-1].feed(ids[x:y])
+                goes_on = more
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([d.count for d in done], pa.int64()), pa.array([d.ids.hexdigest() for d in done]), pa.array([d.text.hexdigest() for d in done])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

@@ -4,7 +4,7 @@ A rolling hash over the last ids of a document cuts its id stream into chunks, s
 chunks. `write_store` writes below one path: chunks (digest, data: each unique chunk once), recipes (documents in
 ascending id: start, n_tokens, chunk digests, Merkle root) and manifest (one row a shard of recipes: id range, sums,
 Merkle root over its documents' rows, ids, places and roots; one row of a null shard: the same of the store, with the
-Merkle root over the shards). `verify` reads the files back, recomputes every digest and root, and gives each document's checksum
+Merkle root over the shards, and how ids are stored). `verify` reads the files back, recomputes every digest and root, and gives each document's checksum
 from the stored chunks alone: a CRC over a document is the sum of its chunks' CRCs, each shifted by the bytes after
 it, so chunk data need not travel. `read_ids` reconstructs the id streams.
 """
@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._pretokens import Rules, rules
-from ._spark import cut, groups_for
+from ._spark import cut, drop, groups_for
 from .bpe import WordIds
 
 ROLLING, MASK, LEAST, MOST = 16, 0xFF, 64, 2048
@@ -99,10 +100,9 @@ def id_kind(own: Rules) -> str:
     return "<u2" if max([*own.vocab.values(), *own.special.values()]) < 1 << 16 else "<u4"
 
 
-def _chunker(path: str, end_id: int | None):
+def _chunker(path: str, end_id: int | None, kind: str):
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LibraryIds(rules(path))
-        kind = id_kind(own.own)
         for block in A.blocks(batches):
             ids, begins = own.block(block.column("text"))
             if end_id is not None:
@@ -151,38 +151,42 @@ def write_store(docs: DataFrame, path: str, out: str, end_id: int | None = None,
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = groups_for(docs, 16 << 20, text_col)
-    rows = read.mapInArrow(_chunker(path, end_id), _DDL)
+    kind = id_kind(rules(path))
+    rows = read.mapInArrow(_chunker(path, end_id, kind), _DDL)
     place = F.when(F.col("kind") == "doc", F.xxhash64("id", "key")).otherwise(F.xxhash64("key")).alias("place")
     dealt = rows.withColumn("place", place).repartition(parts, "place").drop("place")
     dealt.mapInArrow(_unique, _DDL).write.option("compression", "zstd").partitionBy("kind").parquet(f"{out}/parts")
     docs_part = spark.read.schema(_DDL).parquet(f"{out}/parts").filter("kind = 'doc'").select("id", "n", "digests", "sizes")
-    ranged = cut(docs_part.repartitionByRange(max(1, parts // 2), "id").sortWithinPartitions("id", "digests").withColumn("shard", F.spark_partition_id()))
+    ranged = cut(docs_part.repartitionByRange(max(1, parts // 2), "id").withColumn("shard", F.spark_partition_id()))
     totals = ranged.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("docs")).orderBy("shard").collect()  # one row a shard
     starts, at, row = {}, 0, 0
     for t in totals:
         starts[t.shard] = (at, row)
         at, row = at + t.ids, row + t.docs
 
-    def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = row = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if at is None:
-                at, row = starts[batch.column("shard")[0].as_py()]
-            n = batch.column("n").to_numpy()
-            begin = at + np.cumsum(n) - n
-            roots = [merkle([d[i : i + 32] for i in range(0, len(d), 32)]) for d in batch.column("digests").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(np.arange(row, row + len(n))), batch.column("id"), pa.array(begin), batch.column("n"), batch.column("digests"), batch.column("sizes"), pa.array(roots, pa.binary())], names=["shard", "row", "doc_id", "start", "n_tokens", "digests", "sizes", "root"])
-            at, row = at + int(n.sum()), row + len(n)
+    def recipes(shard: pa.Table) -> pa.Table:
+        shard = shard.take(pc.sort_indices(shard, [("id", "ascending"), ("digests", "ascending")], null_placement="at_start"))
+        at, row = starts[shard.column("shard")[0].as_py()]
+        n = shard.column("n").to_numpy()
+        roots = [merkle([d[i : i + 32] for i in range(0, len(d), 32)]) for d in shard.column("digests").to_pylist()]
+        made = {"shard": shard.column("shard"), "row": pa.array(np.arange(row, row + len(n))), "doc_id": shard.column("id"), "start": pa.array(at + np.cumsum(n) - n), "n_tokens": shard.column("n")}
+        return pa.table(made | {"digests": shard.column("digests"), "sizes": shard.column("sizes"), "root": pa.array(roots, pa.binary())})
 
-    ranged.mapInArrow(recipes, "shard int, row long, doc_id long, start long, n_tokens long, digests binary, sizes array<int>, root binary").write.parquet(f"{out}/recipes")
-    spark.createDataFrame(_manifest(spark.read.parquet(f"{out}/recipes")), _MANIFEST).write.parquet(f"{out}/manifest")
+    kinds = "shard int, row long, doc_id long, start long, n_tokens long, digests binary, sizes array<int>, root binary"
+    ranged.groupBy("shard").applyInArrow(recipes, kinds).write.parquet(f"{out}/recipes")
+    rows = [(*r, kind if r[0] is None else None) for r in _manifest(spark.read.parquet(f"{out}/recipes"))]
+    spark.createDataFrame(rows, f"{_MANIFEST}, kind string").write.parquet(f"{out}/manifest")
+    drop(ranged)
 
 
 _MANIFEST = "shard int, docs long, first_row long, first_id long, last_id long, ids long, root binary"
 
 
+def _stored_kind(spark: SparkSession, out: str) -> str:
+    """How the store's ids are stored."""
+    return spark.read.parquet(f"{out}/manifest").filter("shard IS NULL").first().kind
+
+
 def _shard(group: pa.Table) -> pa.Table:
     """The manifest's row of one shard."""
     group = group.sort_by("row")
@@ -243,8 +247,8 @@ def verify(spark: SparkSession, out: str) -> DataFrame:
     ids_crc32 is over the ids as little-endian 32-bit integers.
     """
     parts = spark.read.schema(_DDL).parquet(f"{out}/parts").filter("kind = 'chunk'").select("key", "data")
-    recipes = spark.read.parquet(f"{out}/recipes")
-    if Counter(_manifest(recipes)) != Counter(_plain(r) for r in spark.read.parquet(f"{out}/manifest").collect()):
+    recipes, kind = spark.read.parquet(f"{out}/recipes"), _stored_kind(spark, out)
+    if Counter(_manifest(recipes)) != Counter(_plain(r) for r in spark.read.parquet(f"{out}/manifest").drop("kind").collect()):
         raise ValueError(f"{out}: recipes and manifest differ")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +257,7 @@ def verify(spark: SparkSession, out: str) -> DataFrame:
             for key, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if hashlib.sha256(data).digest() != key:
                     raise ValueError(f"{out}: a chunk differs from its digest")
-                ids = np.frombuffer(data, "<u2")
+                ids = np.frombuffer(data, kind)
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "crc", "size"])
@@ -290,7 +294,7 @@ def verify(spark: SparkSession, out: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, ids array<int> of each stored document, put together from its chunks."""
-    recipes = spark.read.parquet(f"{out}/recipes")
+    recipes, kind = spark.read.parquet(f"{out}/recipes"), _stored_kind(spark, out)
     parts = spark.read.schema(_DDL).parquet(f"{out}/parts").filter("kind = 'chunk'").select("key", "data")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +304,7 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["data"] for x in sorted(own or [], key=lambda x: x["k"])), "<u2").astype(np.int32) for own in batch.column("own").to_pylist()]
+            ids = [np.frombuffer(b"".join(x["data"] for x in sorted(own or [], key=lambda x: x["k"])), kind).astype(np.int32) for own in batch.column("own").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
     linked = recipes.select("row", "digests").mapInArrow(links, "r long, k long, link binary").join(parts, F.col("link") == F.col("key"))

@@ -1,9 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 `build_index` shards the training documents: a shard holds, for each of its terms, the ascending positions of all its
-occurrences, and is a row of a table in the shared folder. `matches` and `contamination` answer test items shard by
-shard: a phrase's terms are taken from the rarest in the shard, its list shifted by the term's offset, and cut down
-by each further list. Test items are a stated query set; they go to all shards in blocks of bounded size.
+occurrences, and is a row of a table in the shared folder. Test items are a stated query set. Their terms' frequencies
+are summed over all shards first, from the columns that have them; each phrase then has its terms from the rarest of
+the collection on. A shard answers all phrases at once: those of which it lacks a term drop out, the lists of the others'
+rarest terms, shifted by the term's offset, are the places to try, and each further term's list cuts them down.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Shard:
+    """A row of the table of shards, unpacked."""
+
     def __init__(self, row: dict):
         self.ids, self.valid = unpack(row["ids"], np.int64).reshape(2, -1)
         self.counts = unpack(row["counts"], np.int64)
@@ -84,18 +87,26 @@ class Shard:
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, places, side="right") - 1
 
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Places at which the terms stand one after the other."""
-        rarest = np.argsort(self.df(terms), kind="stable")
-        at = self.places(terms[rarest[0]]) - rarest[0]
-        for k in rarest[1:]:
-            if not len(at):
-                break
-            other = self.places(terms[k])
-            to = np.searchsorted(other, at + k)
-            to[to == len(other)] = 0
-            at = at[other[to] == at + k]
-        return at
+    def phrases(self, own: Queries, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and place of every occurrence of a window: the lists of its terms, shifted and intersected from the rarest on."""
+        keyed = (np.repeat(np.arange(len(self.lists) - 1), np.diff(self.lists)) << 32) | self.positions  # ascending
+        whole = np.flatnonzero(np.logical_and.reduceat(known[own.flat] >= 0, own.begins)) if len(own.begins) else own.begins
+        term = known[own.flat[own.begins[whole] + own.order[own.begins[whole]]]]
+        counts = self.lists[term + 1] - self.lists[term]
+        window = np.repeat(whole, counts)
+        at = self.positions[A.ranges(self.lists[term], counts)] - np.repeat(own.order[own.begins[whole]], counts)
+        step = 1
+        while len(rest := np.flatnonzero(own.sizes[window] > step)):
+            offset = own.order[own.begins[window[rest]] + step]
+            place = at[rest] + offset
+            wanted = (known[own.flat[own.begins[window[rest]] + offset]] << 32) | place
+            to = np.searchsorted(keyed, wanted)
+            to[to == len(keyed)] = 0
+            stay = np.ones(len(window), bool)
+            stay[rest] = (keyed[to] == wanted) & (place >= 0)
+            window, at = window[stay], at[stay]
+            step += 1
+        return window, at
 
     def near(self, terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """First and last place of the terms in this order in one document, with at most `slop` other words between them."""
@@ -114,45 +125,77 @@ class Shard:
 
 
 class Queries:
-    """A block of test items as windows of terms."""
+    """A block of test items as windows of terms: window w has the terms flat[begins[w]:][:sizes[w]] and belongs to items[w]."""
 
     def __init__(self, ids: list[int], texts: list[str], window: int):
         words, first = words_of(pa.array(texts, pa.string()))
         coded = words.dictionary_encode()
-        self.terms, index = coded.dictionary, coded.indices.to_numpy()
+        self.terms, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         seen: dict[bytes, int] = {}
-        self.windows: list[np.ndarray] = []
+        windows: list[np.ndarray] = []
         self.items: list[list[int]] = []
         for item, lo, hi in zip(ids, first, first[1:], strict=False):
             for at in range(lo, max(hi - window, lo) + 1) if hi > lo else ():
                 own = index[at : min(at + window, hi)]
-                k = seen.setdefault(own.tobytes(), len(self.windows))
-                if k == len(self.windows):
-                    self.windows.append(own)
+                k = seen.setdefault(own.tobytes(), len(windows))
+                if k == len(windows):
+                    windows.append(own)
                     self.items.append([])
                 if not self.items[k] or self.items[k][-1] != item:
                     self.items[k].append(item)
-
-    def run(self, shard: Shard, slop: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Items, first and last places of each window that the shard has."""
+        self.sizes = np.fromiter(map(len, windows), np.int64, len(windows))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, np.int64), *windows])
+        self.rank(np.zeros(len(self.terms), np.int64))
+
+    def rank(self, df: np.ndarray) -> None:
+        """The order of each window's places: by the frequency of the term there."""
+        window, place = np.repeat(np.arange(len(self.sizes)), self.sizes), A.ranges(np.zeros(len(self.sizes), np.int64), self.sizes)
+        self.order = place[np.lexsort((place, df[self.flat], window))]
+
+    def run(self, shard: Shard, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, first and last place of each occurrence in the shard."""
         known = shard.find(self.terms)
-        for own, items in zip(self.windows, self.items, strict=True):
-            terms = known[own]
-            if (terms < 0).any():
-                continue
-            first, last = shard.near(terms, slop) if slop else ((at := shard.phrase(terms)), at + len(terms) - 1)
-            if len(first):
-                yield items, first, last
-
-
-def _query_blocks(items: DataFrame, window: int, id_col: str, text_col: str) -> list:
+        if not slop:
+            window, at = shard.phrases(self, known)
+            return window, at, at + self.sizes[window] - 1
+        found = [(np.zeros(0, np.int64),) * 3]
+        for w, (begin, size) in enumerate(zip(self.begins, self.sizes, strict=True)):
+            terms = known[self.flat[begin : begin + size]]
+            if (terms >= 0).all():
+                first, last = shard.near(terms, slop)
+                found.append((np.full(len(first), w), first, last))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def items_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of occurrences: their numbers, once for each item of the window, and those items."""
+        counts = np.fromiter((len(self.items[w]) for w in windows), np.int64, len(windows))
+        return np.repeat(np.arange(len(windows)), counts), np.array([i for w in windows for i in self.items[w]], np.int64)
+
+
+def _query_blocks(index: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str) -> list:
+    """The items in blocks of bounded size, with the order of their terms by the frequency in all shards, as broadcasts."""
     read = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // QUERY_BYTES)
-    out = []
+    blocks, out = -(-size // QUERY_BYTES), []
     for k in range(blocks):
         rows = read.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
-        out.append(items.sparkSession.sparkContext.broadcast(Queries([r.id for r in rows], [r.text for r in rows], window)))
+        own = Queries([r.id for r in rows], [r.text for r in rows], window)
+        terms = own.terms
+
+        def frequencies(batches: Iterator[pa.RecordBatch], terms: pa.Array = terms) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    sizes = np.concatenate([[0], np.cumsum(unpack(row["sizes"], np.uint32), dtype=np.int64)])
+                    at = pc.index_in(terms, value_set=pa.Array.from_buffers(pa.large_binary(), len(sizes) - 1, [None, pa.py_buffer(sizes), pa.py_buffer(unpack(row["terms"], np.uint8))])).fill_null(-1).to_numpy()
+                    some = np.flatnonzero(at >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(unpack(row["df"], np.uint32)[at[some]].astype(np.int64))], names=["term", "n"])
+
+        df = np.zeros(len(terms), np.int64)
+        for r in index.select("terms", "sizes", "df").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # terms of the stated items
+            df[r.term] = r.n
+        own.rank(df)
+        out.append(items.sparkSession.sparkContext.broadcast(own))
     return out
 
 
@@ -168,16 +211,16 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0,
     A window is `window` consecutive words of an item, or all words of a shorter one. slop 0: exact phrases; else the
     words in order with at most `slop` others between them. Items of null id or text, or without a word, match nothing.
     """
-    held = _query_blocks(items, window, id_col, text_col)
+    held = _query_blocks(index, items, window, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shard_rows(batches):
             for queries in held:
-                for own, first, last in queries.value.run(shard, slop):
-                    doc = shard.doc_of(first)
-                    for item in own:
-                        arrays = [pa.array(shard.ids[doc], mask=shard.valid[doc] == 0), pa.array(np.full(len(doc), item)), pa.array(first - shard.begins[doc]), pa.array(last - shard.begins[doc] + 1)]
-                        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "start", "end"])
+                windows, first, last = queries.value.run(shard, slop)
+                at, item = queries.value.items_of(windows)
+                doc = shard.doc_of(first[at])
+                arrays = [pa.array(shard.ids[doc], mask=shard.valid[doc] == 0), pa.array(item), pa.array(first[at] - shard.begins[doc]), pa.array(last[at] - shard.begins[doc] + 1)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "start", "end"])
 
     return index.mapInArrow(run, "doc_id long, item_id long, start long, end long").distinct()
 
@@ -187,7 +230,7 @@ def contamination(index: DataFrame, items: DataFrame, window: int = 10, id_col:
 
     items_sha256: of the matching item ids, sorted as strings and joined by commas ('' if none).
     """
-    held = _query_blocks(items, window, id_col, text_col)
+    held = _query_blocks(index, items, window, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shard_rows(batches):
@@ -195,11 +238,12 @@ def contamination(index: DataFrame, items: DataFrame, window: int = 10, id_col:
             step = np.zeros(size + 1, np.int32)
             found: list[set[int]] = [set() for _ in shard.counts]
             for queries in held:
-                for own, first, last in queries.value.run(shard, 0):
-                    np.add.at(step, first, 1)
-                    np.add.at(step, last + 1, -1)
-                    for doc in np.unique(shard.doc_of(first)):
-                        found[doc].update(own)
+                windows, first, last = queries.value.run(shard, 0)
+                np.add.at(step, first, 1)
+                np.add.at(step, last + 1, -1)
+                at, item = queries.value.items_of(windows)
+                for doc, x in zip(shard.doc_of(first[at]).tolist(), item.tolist(), strict=True):
+                    found[doc].add(x)
             hit = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
             n_hit = hit[shard.begins + shard.counts] - hit[shard.begins]
             digests = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in found]

@@ -20,8 +20,10 @@ from . import _arrays as A
 from ._pack import pack, unpack
 
 BITS, DIM, NGRAMS, EPOCHS, RATE = 16, 16, (2, 3, 4), 6, 0.5
-#: Bound of the training sample: labelled rows of each language.
-PER_LANG = 800
+#: Bounds of the training sample: labelled rows of each language, and languages (those of the most rows).
+PER_LANG, MOST_LANGS = 800, 256
+#: Characters whose n-grams are held at once, and groups that a language's rows are dealt to before they meet.
+PIECE, DEALT = 1 << 20, 64
 
 _alpha = np.array([chr(i).isalpha() for i in range(0x3000)])
 
@@ -33,6 +35,16 @@ def _letters(chars: np.ndarray) -> np.ndarray:
     return np.array([chr(c).isalpha() for c in kinds])[of]
 
 
+def pieces(text: str | None, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about `size` characters, cut at characters that are no letters, which no n-gram goes over."""
+    at, text = 0, text or ""
+    while len(text) - at > size:
+        end = next((i for i in range(at + size, len(text)) if not text[i].isalpha()), len(text))
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of all n-grams of each text, one text after the other, and where each text's begin."""
     parts = [("\0" + (t or "").lower() + "\0").encode("utf-32-le", "surrogatepass") for t in texts]
@@ -67,13 +79,36 @@ class Model:
     temperature: float = 1.0
     least_score: float = 0.0
 
-    def raw(self, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Logits of each text, before the temperature; 0 for a text without n-grams."""
-        out = np.zeros((len(begins) - 1, len(self.langs)))
-        some = np.flatnonzero(np.diff(begins))
-        if len(some):
-            out[some] = np.add.reduceat(self.logits[rows], begins[some], axis=0) / np.diff(begins)[some, None] + self.bias
-        return out
+    def raw(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of each text, before the temperature (0 for a text without n-grams), and how many n-grams it has.
+
+        Long texts come in pieces, so what is held at once is bounded.
+        """
+        out, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+
+        def add(part: list[str], of: list[int]) -> None:
+            rows, begins = features(part)
+            sizes = np.diff(begins)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                np.add.at(out, np.array(of)[some], np.add.reduceat(self.logits[rows], begins[some], axis=0))
+                np.add.at(count, np.array(of)[some], sizes[some])
+
+        part: list[str] = []
+        of: list[int] = []
+        held = 0
+        for k, text in enumerate(texts):
+            for piece in pieces(text):
+                part.append(piece)
+                of.append(k)
+                held += len(piece)
+                if held >= PIECE:
+                    add(part, of)
+                    part, of, held = [], [], 0
+        add(part, of)
+        some = count > 0
+        out[some] = out[some] / count[some, None] + self.bias
+        return out, count
 
     def scores(self, raw: np.ndarray) -> np.ndarray:
         x = raw / self.temperature
@@ -122,25 +157,33 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> M
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in A.blocks(batches):
-        rows, begins = features(block.column("text").to_pylist())
-        out = [np.unique(rows[a:b], return_counts=True) for a, b in zip(begins, begins[1:], strict=False)]
+        out = []
+        for text in block.column("text").to_pylist():
+            total = np.zeros(1 << BITS, np.int64)
+            for piece in pieces(text):
+                total += np.bincount(features([piece])[0], minlength=1 << BITS)
+            rows = np.flatnonzero(total)
+            out.append((rows, total[rows]))
         yield pa.RecordBatch.from_arrays([block.column("lang"), block.column("order"), pa.array([pack(r, np.int32) for r, _ in out], pa.binary()), pa.array([pack(c, np.int32) for _, c in out], pa.binary())], names=["lang", "order", "rows", "counts"])
 
 
 def fit(docs: DataFrame, use: Column, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Trains on at most per_lang rows of each non-null language that `use` is true of; None if there is none.
+    """Trains on at most per_lang rows of each non-null language that `use` is true of, and at most MOST_LANGS languages;
+    None if there is none.
 
     A row's features have at most 2 ** BITS entries, however long its text, so what comes to the driver is bounded.
     """
     read = docs.filter(use).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("order")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    first = read.select("lang", "order").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("n") <= per_lang)
-    limits = first.groupBy("lang").agg(F.max("order").alias("most")).collect()  # one row a language
-    if not limits:
+    langs = read.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS)
+    # the least hashes of each of some groups of a language first, so that no task has a whole language
+    dealt = read.select("lang", "order", F.pmod(F.xxhash64("order"), F.lit(DEALT)).alias("g")).join(F.broadcast(langs.select("lang")), "lang")
+    some = dealt.withColumn("n", F.row_number().over(Window.partitionBy("lang", "g").orderBy("order"))).filter(F.col("n") <= per_lang)
+    first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("n") <= per_lang)
+    limits = first.groupBy(F.col("lang").alias("l")).agg(F.max("order").alias("most"))
+    chosen = read.join(F.broadcast(limits), (F.col("lang") == F.col("l")) & (F.col("order") <= F.col("most"))).select("text", "lang", "order")
+    rows = chosen.mapInArrow(_sampled, "lang string, order long, rows binary, counts binary").collect()  # per_lang rows of each of MOST_LANGS at most
+    if not rows:
         return None
-    chosen = F.lit(False)
-    for lang, most in limits:
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("order") <= most))
-    rows = read.filter(chosen).mapInArrow(_sampled, "lang string, order long, rows binary, counts binary").collect()
     rows.sort(key=lambda r: (r.order, r.lang, bytes(r.rows)))
     return train([(r.lang, unpack(bytes(r.rows), np.int32), unpack(bytes(r.counts), np.int32).astype(float)) for r in rows])
 
@@ -159,9 +202,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             n = block.num_rows
             langs, scores, accepted = ["und"] * n, np.zeros(n), np.zeros(n, bool)
             if own is not None:
-                rows, begins = features(block.column("text").to_pylist())
-                prob = own.scores(own.raw(rows, begins))
-                some = np.diff(begins) > 0
+                raw, count = own.raw(block.column("text").to_pylist())
+                prob, some = own.scores(raw), count > 0
                 best = prob.argmax(1)
                 langs = [own.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
                 scores = np.where(some, prob.max(1), 0.0)

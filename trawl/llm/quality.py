@@ -86,12 +86,18 @@ def rules_column(rules: tuple[Rule, ...]) -> Column:
 
 
 def _measured(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], base: tuple[Rule, ...]) -> DataFrame:
-    """docs as one struct _row, with all counts and verdicts."""
+    """docs as one struct _row, with all counts and verdicts.
+
+    A filter on them would be pushed below the projections, and the arrays they make would then be made anew for each
+    element of the lambdas above them. So the last step is a generator of one row, over which no filter moves.
+    """
     made = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), *(c.alias(k) for k, c in counts(F.col(text_col)).items()))
     made = made.select("_row", *(c.alias(k) for k, c in measures().items())).withColumn("_starts", repeat_words())
     covered = F.aggregate("_starts", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
     made = made.withColumn("n_repeat_words", covered.cast("long"))
-    return made.withColumn("base_failed", rules_column(base)).withColumn("kept", ~rules_column((*base, *rules)))
+    made = made.withColumn("base_failed", rules_column(base)).withColumn("kept", ~rules_column((*base, *rules)))
+    names = ["_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "base_failed", "kept"]
+    return made.select(F.inline(F.array(F.struct(*names))))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,10 +110,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ..
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that no rule rejects. Null and empty texts fail; an empty table gives no rows.
-
-    A filter on the verdict would be pushed below the projections, and the arrays they make would then be made anew for
-    each element of the lambdas above them. A generator stays where it is.
-    """
-    one = F.filter(F.array(F.struct("_row", "kept")), lambda x: x["kept"])
-    return _measured(docs, text_col, rules, base).select(F.inline(one)).select("_row.*")
+    """The rows of docs, with all their columns, that no rule rejects. Null and empty texts fail; an empty table gives no rows."""
+    return _measured(docs, text_col, rules, base).filter("kept").select("_row.*")

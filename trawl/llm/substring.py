@@ -5,9 +5,10 @@ earlier in the same document. Windows are judged on the input. The removed windo
 
 How it scales. A task hashes its windows block by block and ships, per block, only the first occurrence of each
 hash, so a passage that a third of all documents share arrives at most once a block; the occurrences after it
-are known to be repeats on the spot. Windows are dealt out by the least hash of the four-word sequences inside
-them (a minimiser): neighbouring windows mostly go to the same group, and equal windows always do. The number of
-groups follows the input size, so a group stays small. Hashes have 64 bits, besides the bits that pick the group.
+are known to be repeats on the spot. Windows are dealt out by ranges of their own hash, so no passage draws others into
+its group, and the number of groups follows the input size, so a group stays small. A second hash of 32 bits,
+independent of the first of 64, has to agree as well: two different windows of 10 ** 13 share both with a probability of
+about 6e-4. Runs of repeats are written before the documents are read again, so the windows' shuffle is gone by then.
 """
 
 from __future__ import annotations
@@ -21,23 +22,12 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._pack import pack, pack_steps, unpack, unpack_steps
-from ._spark import groups_for
+from ._spark import cut, groups_for
 
-SEED_WORDS = 4
-_SHIPPED = "pid int, repeats boolean, hashes binary, at binary, ids binary, begins binary"
+_SHIPPED = "pid int, repeats boolean, hashes binary, checks binary, at binary, ids binary, begins binary"
 _RUNS = "id long, starts array<int>, counts array<int>"
 
 
-def _windows(words: np.ndarray, first: np.ndarray, window: int, groups: int):
-    """Hash and group of each window of the block, and the window that each text begins with."""
-    at, _ = A.window_starts(first, window)
-    begins = np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - window + 1, 0))])
-    hashes = A.hash_windows(words, window)[at]
-    seed = min(SEED_WORDS, window)
-    least = A.sliding_min(A.hash_windows(words, seed, 1), window - seed + 1)[at]
-    return hashes, (A.mix(least) % A.U64(groups)).astype(np.uint32), begins
-
-
 def _shipper(window: int, groups: int):
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in A.blocks(batches, max_bytes=3 * A.BLOCK_BYTES):
@@ -47,43 +37,42 @@ def _shipper(window: int, groups: int):
                 block, ids = block.take(pa.array(order)), ids[order]
             data, offsets = A.buffer_of(block.column("text"))
             starts, ends, first = A.spans(data, offsets, A.SPACE)
-            hashes, pids, begins = _windows(A.hash_spans(data, starts, ends), first, window, groups)
-            if not len(hashes):
+            words = A.hash_spans(data, starts, ends)
+            at, _ = A.window_starts(first, window)
+            if not len(at):
                 continue
+            begins = np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - window + 1, 0))])
+            hashes, checks = A.hash_windows(words, window)[at], (A.hash_windows(words, window, 2)[at] >> A.U64(32)).astype(np.uint32)
             order = np.argsort(hashes)
-            edges = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+            sorted_, check = hashes[order], checks[order]
+            edges = np.flatnonzero(np.concatenate([[True], (sorted_[1:] != sorted_[:-1]) | (check[1:] != check[:-1])]))
             firsts = np.minimum.reduceat(order, edges)
-            again = np.ones(len(hashes), bool)
-            again[firsts] = False
-            rows: dict[str, list] = {"pid": [], "repeats": [], "hashes": [], "at": [], "ids": [], "begins": []}
+            sent, check = sorted_[edges], check[edges]
+            rows: dict[str, list] = {"pid": [], "repeats": [], "hashes": [], "checks": [], "at": [], "ids": [], "begins": []}
 
-            def add(pid: int, repeats: bool, sent: np.ndarray, at: np.ndarray, ids=ids, begins=begins, rows=rows) -> None:
+            def add(pid: int, repeats: bool, own: np.ndarray, check: np.ndarray, at: np.ndarray, ids=ids, begins=begins, rows=rows) -> None:
                 doc = np.unique(np.searchsorted(begins, at, side="right") - 1)
-                rows["pid"].append(pid)
-                rows["repeats"].append(repeats)
-                rows["hashes"].append(sent.tobytes())
-                rows["at"].append(pack_steps(at))
-                rows["ids"].append(pack_steps(ids[doc], np.int64))
-                rows["begins"].append(pack_steps(begins[doc]))
-
-            firsts = np.flatnonzero(~again)
-            dealt = pids[firsts]
-            firsts = firsts[np.argsort(dealt.astype(np.uint16) if groups <= 1 << 16 else dealt, kind="stable")]
-            dealt = pids[firsts]
-            cuts = np.flatnonzero(np.diff(dealt, prepend=dealt[0] + 1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(firsts)], strict=True):
-                add(int(dealt[lo]), False, hashes[firsts[lo:hi]], firsts[lo:hi])
+                made = (pid, repeats, pack_steps(own, np.uint64), check.tobytes(), pack(at, np.uint32), pack_steps(ids[doc], np.int64), pack_steps(begins[doc]))
+                for name, x in zip(rows, made, strict=True):
+                    rows[name].append(x)
+
+            pid = ((sent >> A.U64(32)) * A.U64(groups)) >> A.U64(32)
+            cuts = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
+            for lo, hi in zip(cuts, [*cuts[1:], len(pid)], strict=True):
+                add(int(pid[lo]), False, sent[lo:hi], check[lo:hi], firsts[lo:hi])
+            again = np.ones(len(hashes), bool)
+            again[firsts] = False
             at = np.flatnonzero(again)
             if len(at):
-                add(int(hashes[at[0]] % A.U64(groups)), True, hashes[:0], at)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["pid"], pa.int32()), pa.array(rows["repeats"], pa.bool_()), *(pa.array(rows[k], pa.binary()) for k in ("hashes", "at", "ids", "begins"))], names=list(rows))
+                add(int(hashes[at[0]] % A.U64(groups)), True, hashes[:0], checks[:0], at)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["pid"], pa.int32()), pa.array(rows["repeats"], pa.bool_()), *(pa.array(rows[k], pa.binary()) for k in ("hashes", "checks", "at", "ids", "begins"))], names=list(rows))
 
     return ship
 
 
 def _place(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Document and start of each window that a shipped row has."""
-    at = unpack_steps(row["at"]).astype(np.int64)
+    at = unpack(row["at"], np.uint32).astype(np.int64)
     ids, begins = unpack_steps(row["ids"], np.int64), unpack_steps(row["begins"]).astype(np.int64)
     doc = np.searchsorted(begins, at, side="right") - 1
     return ids[doc], (at - begins[doc]).astype(np.int32)
@@ -105,26 +94,27 @@ def _runs(ids: np.ndarray, starts: np.ndarray) -> pa.Table:
 
 def _find(group: pa.Table) -> pa.Table:
     """The windows of one group that are not the first of their kind."""
-    hashes, ids, starts, found = [], [], [], []
+    hashes, checks, ids, starts, found = [], [], [], [], []
     for row in group.to_pylist():
         i, s = _place(row)
         if row["repeats"]:
             found.append((i, s))
         else:
-            hashes.append(np.frombuffer(row["hashes"], A.U64))
+            hashes.append(unpack_steps(row["hashes"], np.uint64))
+            checks.append(np.frombuffer(row["checks"], np.uint32))
             ids.append(i)
             starts.append(s)
     if hashes:
-        h, i, s = np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
+        h, c, i, s = np.concatenate(hashes), np.concatenate(checks), np.concatenate(ids), np.concatenate(starts)
         hashes.clear()
-        order = np.argsort(h)
-        same = np.diff(h[order]) == 0
+        order = np.argsort(h, kind="stable")  # each block's are in order already
+        same = h[order][1:] == h[order][:-1]
         order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        h, i, s = h[order], i[order], s[order]
-        order = np.lexsort((s, i, h))
-        h, i, s = h[order], i[order], s[order]
+        h, c, i, s = h[order], c[order], i[order], s[order]
+        order = np.lexsort((s, i, c, h))
+        h, c, i, s = h[order], c[order], i[order], s[order]
         if len(h):
-            edges = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
             head = np.repeat(edges, np.diff(np.append(edges, len(h))))
             later = (i != i[head]) | (s != s[head])
             found.append((i[later], s[later]))
@@ -179,7 +169,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     words than a window have none; rows of a null id are not looked at; rows that repeat an id count as one document.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    groups = groups_for(docs, 8 << 20, text_col)
+    groups = groups_for(docs, 16 << 20, text_col)
     shipped = read.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_shipper(window, groups), _SHIPPED)
     return shipped.groupBy("pid").applyInArrow(_find, _RUNS)
 
@@ -192,6 +182,6 @@ def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     out. A null or empty text gives an empty text and no words; a row of a null id stays whole.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = repeated_windows(docs, window, id_col, text_col).groupBy(F.col("id").alias("rid")).agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
+    runs = cut(repeated_windows(docs, window, id_col, text_col)).groupBy(F.col("id").alias("rid")).agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
     joined = read.join(runs, F.col("id") == F.col("rid"), "left").select("id", "text", "starts", "counts")
     return joined.mapInArrow(_remover(window), "id long, text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>").withColumnRenamed("id", id_col)
