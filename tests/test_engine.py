@@ -239,3 +239,68 @@ def test_images(spark):
     lab = images.oklab(F.col("r"), F.col("g"), F.col("b"))
     out = grey.select(F.round(lab[0], 3).alias("l"), images.colour_bucket(*lab).alias("k")).collect()
     assert [(r.l, r.k < 5) for r in out] == [(1.0, True), (0.0, True), (0.628, False)]
+
+
+def test_dump_counts_and_binary_keys(spark, tmp_path):
+    (tmp_path / "d.sql").write_text("CREATE TABLE a (x int);\nINSERT INTO a (x) VALUES (1), (2);\nINSERT INTO s.b VALUES (3);\nINSERT INTO a SELECT 1;\nCOPY a (x) FROM stdin;\n4\n\\.\nSET x = 1;\n")
+    assert rows.dump_counts(spark, str(tmp_path / "d.sql"), ["a"]).first().asDict() == {"kept": 3, "excluded": 1, "skipped": 3}
+    assert sorted((r.table, r.row["x"]) for r in rows.read_sql_dump(spark, str(tmp_path / "d.sql"), ["A"]).collect()) == [("a", "1"), ("a", "2"), ("a", "4")]
+    (tmp_path / "k.bin").write_bytes(struct.pack("<Q3Q", 3, 5, 7, (1 << 64) - 1))
+    assert [(r.position, int(r.key)) for r in rows.read_sosd(spark, str(tmp_path / "k.bin")).orderBy("position").collect()] == [(0, 5), (1, 7), (2, (1 << 64) - 1)]
+
+
+def test_generated_tables(spark):
+    from trawl.sources import generated as g
+
+    for make in (g.uniform, g.lognormal, g.clustered):
+        a, b = (make(spark, 500, 7).repartition(n).orderBy("id").collect() for n in (1, 5))
+        assert a == b and a != make(spark, 500, 8).orderBy("id").collect() and all(r.key >= 0 for r in a)
+    assert len({r.key // 1000 for r in g.clustered(spark, 500, 1, clusters=5).collect()}) <= 10
+    assert all(len(r.text.split()) == 8 for r in g.texts(spark, 20, 1).collect()) and g.queries(spark, 3, 1).columns == ["query_id", "text"]
+
+
+def test_picture_headers():
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    heif = box(b"ftyp", b"heic0000") + box(b"meta", b"\0" * 4 + box(b"iprp", box(b"ipco", box(b"ispe", struct.pack(">III", 0, 640, 480)))))
+    assert images.size_of(heif) == (640, 480) and images.size_of(heif[:-1]) is None
+    table = bytes([0x01]) + bytes(range(64))
+    jpeg = b"\xff\xd8\xff\xdb" + struct.pack(">H", 2 + len(table)) + table + b"\xff\xda\0\2"
+    assert images.quantisation_tables(jpeg) == [(1, 0, list(range(64)))] and images.quantisation_tables(b"x") == []
+    assert images.table_fingerprint([]) is None and images.table_fingerprint(images.quantisation_tables(jpeg)) != images.table_fingerprint([(0, 0, list(range(64)))])
+    entry = lambda tag, kind, n, value: struct.pack("<HHI4s", tag, kind, n, value)
+    first = struct.pack("<H", 1) + entry(0x0112, 3, 1, struct.pack("<HH", 6, 0)) + struct.pack("<I", 26)
+    second = struct.pack("<H", 2) + entry(0x0201, 4, 1, struct.pack("<I", 56)) + entry(0x0202, 4, 1, struct.pack("<I", 3)) + struct.pack("<I", 0)
+    tiff = b"II*\0" + struct.pack("<I", 8) + first + second + b"abc"
+    assert len(tiff) == 59 and images.exif(tiff) == {"orientation": 6, "thumbnail": b"abc"}
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", len(tiff), b"eXIf") + tiff + b"crc0"
+    assert images.exif(png)["orientation"] == 6
+
+
+def test_picture_words(spark):
+    made = spark.createDataFrame([("a", "NIKON CORPORATION", "NIKON D750", None, 2019, 5, 7, 3.5), ("b", "Apple", "iPhone 15", "wide", None, None, None, float("nan"))], "path string, make string, model string, lens string, year int, month int, day int, lat double")
+    words = {(r.path, r.field, r.value) for r in images.exif_terms(made).collect()}
+    assert {("a", "exif.camera", "NIKON D750"), ("b", "exif.camera", "Apple iPhone 15"), ("a", "exif.date", "2019-05-07"), ("b", "exif.lens", "wide")} <= words
+    full = made.selectExpr("*", "1d altitude", "1 orientation", "100 iso", "2d fnumber", "0.1d exposure", "50d focal", "2d lon")
+    assert ("b", "exif.lat") not in {(r.path, r.field) for r in images.exif_numbers(full).collect()} and images.exif_numbers(full).filter("field = 'exif.year'").count() == 1
+
+
+def test_cells_hold_what_a_scan_finds(spark):
+    """Points by cells against every edge; inner cells answer alone."""
+    star = [(0, 0, True, [(5.0, 5.0), (45.0, 8.0), (40.0, 44.0), (25.0, 20.0), (6.0, 40.0)]), (0, 1, False, [(12.0, 9.0), (20.0, 9.0), (20.0, 14.0)])]
+    rings = spark.createDataFrame(star, "poly_id int, ring int, outer boolean, points array<struct<x:double,y:double>>")
+    rng = random.Random(1)
+    points = [(i, rng.uniform(0, 50), rng.uniform(0, 50)) for i in range(400)] + [(900, float("nan"), 1.0), (901, None, 2.0)]
+
+    def inside(x, y):
+        hit = [sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(c, c[1:] + c[:1], strict=True)) % 2 == 1 for *_, c in star]
+        return hit[0] and not hit[1]
+
+    df = spark.createDataFrame(points, "point_id long, x double, y double")
+    got = {r.point_id: r.poly_id for r in geo.locate(df, rings, 3.0).collect()}
+    assert got == {i: 0 if x is not None and x == x and inside(x, y) else None for i, x, y in points}
+    assert geo.cells(rings, 3.0).filter("inner").count() > 20
+    keys = spark.range(16).select(geo.hilbert_key(F.col("id") % 4, F.floor(F.col("id") / 4), 2).alias("k"), "id").collect()
+    assert all(r.k == geo.hilbert(2, r.id % 4, r.id // 4) for r in keys)
+    ranges = geo.cover(2, 1, 1, 2, 2, 8)
+    found = spark.range(16).select(geo.hilbert_key(F.col("id") % 4, F.floor(F.col("id") / 4), 2).alias("k"), "id").filter(geo.in_cover(F.col("k"), ranges))
+    assert {(r.id % 4, r.id // 4) for r in found.collect()} >= {(1, 1), (1, 2), (2, 1), (2, 2)}

@@ -827,6 +827,62 @@ def _near(spark, sf_dir):
     return images.hash_near(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 2654435761).alias("h")), "h", "doc_id", 123456789, 16)
 
 
+_HASHES = "h AS (SELECT DISTINCT p_partkey % 20 AS item, xor((p_partkey // 7) * 2654435761, 1::BIGINT << (p_partkey % 7 * 3)::INT)::BIGINT AS hash FROM part)"
+_OVERLAP = f"""{_HASHES}, n AS (SELECT item, count(*) AS size FROM h GROUP BY item), m AS (SELECT DISTINCT x.item AS a, x.hash, y.item AS b FROM h x, h y WHERE x.item <> y.item AND bit_count(xor(x.hash, y.hash)) <= 7),
+o AS (SELECT a, b, round(count(*) / size, 9) AS share FROM m JOIN n ON a = item GROUP BY a, b, size)"""
+
+
+def _hashes_of(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select((k % 20).alias("item"), (F.floor(k / 7) * 2654435761).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (k % 7 * 3).cast("int"))).alias("hash"))
+
+
+@add("hash_overlap", f"WITH {_OVERLAP} SELECT a, b, share FROM o")
+def _overlap(spark, sf_dir):
+    return strings.hash_overlap(_hashes_of(spark, sf_dir), 7)
+
+
+@add("pair_table", f"WITH {_OVERLAP}, p AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM o) SELECT p.a, p.b, coalesce(x.share, 0) AS ab, coalesce(y.share, 0) AS ba FROM p LEFT JOIN o x ON x.a = p.a AND x.b = p.b LEFT JOIN o y ON y.a = p.b AND y.b = p.a")
+def _pairs(spark, sf_dir):
+    return strings.pair_table(_hashes_of(spark, sf_dir), 7)
+
+
+@add("components", """WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 7) % 150 AS b FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey < 150 AND (c_custkey * 7) % 150 > 0), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, seed) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT l.b, r.seed FROM r JOIN l ON l.a = r.id WHERE r.seed < l.b) SELECT id, min(seed) AS label FROM r WHERE id IN (SELECT c_custkey FROM customer) GROUP BY id""")
+def _components(spark, sf_dir):
+    from trawl.operators.graph import components
+
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(k.alias("id"))
+    edges = nodes.filter("id % 3 <> 0 AND id < 150").select(F.col("id").alias("a"), (F.col("id") * 7 % 150).alias("b")).filter("b > 0")
+    return components(nodes, edges)
+
+
+@add("ndcg", """WITH r AS (SELECT user_id % 5 AS query_id, event_id AS doc_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY value DESC, event_id) AS rank FROM events), g AS (SELECT user_id % 5 AS query_id, event_id AS doc_id FROM events WHERE event_id % 3 = 0),
+d AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN g USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id), n AS (SELECT query_id, least(count(*), 10) AS n FROM g GROUP BY query_id),
+i AS (SELECT query_id, (SELECT sum(1 / log2(k + 1)) FROM range(1, 11) t(k) WHERE k <= n) AS ideal FROM n) SELECT query_id, round(coalesce(dcg, 0) / ideal, 9) AS ndcg FROM i LEFT JOIN d USING (query_id)""")
+def _ndcg(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("query_id"), F.col("event_id").alias("doc_id"), "value")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("value").desc(), "doc_id")))
+    return strings.ndcg(ranked, rows.filter("doc_id % 3 = 0").select("query_id", "doc_id"), 10)
+
+
+@add("open_segments", f"WITH {_SEGMENTS} SELECT event_id, user_id, seg FROM d WHERE NOT deleted")
+def _open(spark, sf_dir):
+    """Four segments, each written as the next one, and opened together."""
+    from trawl.operators.graph import new_path
+
+    path = new_path(spark, "segments")
+    for k in range(4):
+        C.append_segment(table(spark, sf_dir, "events").filter(F.col("event_id") % 4 == k).select("event_id", "user_id"), path)
+    return C.open_segments(spark, path, "user_id").select("event_id", "user_id", F.col("seg").cast("long").alias("seg"))
+
+
+@add("substring_places", "SELECT item_id, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, 3) = 'the') AS places FROM benchmark")
+def _places(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", strings.places(F.col("text"), "the").alias("places"))
+
+
 @add("substring_count", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")
 def _substrings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.count(F.col("text"), "the").cast("long").alias("n"))

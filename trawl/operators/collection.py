@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words for the two kinds of change.
@@ -71,7 +71,20 @@ def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return live.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(order).alias("doc"))
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """All columns of each key's row of the highest order, by a window (for rows too wide to aggregate)."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
+def append_segment(rows: DataFrame, path: str) -> int:
+    """Writes rows as the next segment below a path and gives its number. The committer makes its files seen at once."""
+    n = next_segment(rows.sparkSession, path)
+    rows.write.mode("errorifexists").parquet(f"{path}/seg={n}")
+    return n
+
+
+def next_segment(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return max((int(n.removeprefix("seg=")) + 1 for n in names if n.startswith("seg=")), default=0)
+
+
+def open_segments(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The live rows of all segments below a path: a key's rows of the last segment that has it."""
+    return shadow(spark.read.parquet(path), key).filter("NOT deleted").drop("deleted")

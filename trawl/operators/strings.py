@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,19 +73,25 @@ def shot_spans(scores: DataFrame, threshold: float, duration: Column, least: flo
 def hash_overlap(hashes: DataFrame, radius: int) -> DataFrame:
     """a, b, share of a's hashes (item, hash long) that are within `radius` bits of a hash of b, stronger direction first.
 
-    Hashes meet on bytes: within a radius under 8, two of them share at least one of their 8 bytes.
+    Hashes meet on blocks of 16 bits: within a radius under 8, some of their four blocks differ in radius // 4 bits at
+    most (none or one), so one side's blocks are also keys with each bit changed.
     """
     if not 0 <= radius < 8:
         raise ValueError("the radius is 0 to 7 bits")
     own = hashes.select("item", "hash").distinct()
-    keyed = own.select("item", "hash", F.posexplode(F.array(*(F.shiftrightunsigned("hash", 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(8)))).alias("at", "byte"))
-    other = keyed.select(F.col("item").alias("b"), F.col("hash").alias("h"), "at", "byte")
-    near = keyed.join(other, ["at", "byte"]).filter((F.col("item") != F.col("b")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))) <= radius))
+    blocks = F.array(*(F.shiftrightunsigned("hash", 16 * i).bitwiseAND(F.lit(65535).cast("long")) for i in range(4)))
+    flips = [0, *(1 << k for k in range(16))] if radius >= 4 else [0]
+    keyed = own.select("item", "hash", F.posexplode(blocks).alias("at", "block"))
+    other = own.select(F.col("item").alias("b"), F.col("hash").alias("h"), F.posexplode(blocks).alias("at", "own"))
+    other = other.select("b", "h", "at", F.explode(F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: F.col("own").bitwiseXOR(x))).alias("block"))
+    near = keyed.join(other, ["at", "block"]).filter((F.col("item") != F.col("b")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))) <= radius))
     met = near.select("item", "hash", "b").distinct().groupBy("item", "b").agg(F.count("*").alias("met"))
     sizes = own.groupBy("item").agg(F.count("*").alias("size"))
     return met.join(sizes, "item").select(F.col("item").alias("a"), "b", F.round(F.col("met") / F.col("size"), 9).alias("share")).orderBy(F.col("share").desc(), "a", "b")
 
 
-def batches_of(rows: list, size: int) -> Iterator[list]:
-    for at in range(0, len(rows), size):
-        yield rows[at : at + size]
+def pair_table(hashes: DataFrame, radius: int) -> DataFrame:
+    """a < b with the share in both directions (0 where nothing meets), the stronger one first."""
+    one = hash_overlap(hashes, radius)
+    pair = one.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.coalesce(F.max(F.when(F.col("a") < F.col("b"), F.col("share"))), F.lit(0.0)).alias("ab"), F.coalesce(F.max(F.when(F.col("a") > F.col("b"), F.col("share"))), F.lit(0.0)).alias("ba"))
+    return pair.orderBy(F.greatest("ab", "ba").desc(), "a", "b")

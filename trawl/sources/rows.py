@@ -124,6 +124,39 @@ def read_sql_dump(spark: SparkSession, path: str, tables: list[str] | None = Non
     return rows
 
 
+def dump_counts(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
+    """One row: rows that read_sql_dump keeps, rows of other tables, and statements that it passes over."""
+    names = {t.lower() for t in tables or ()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = excluded = skipped = 0
+            for text in batch.column(0).to_pylist():
+                for table, row in dump_events(text):
+                    wanted = not names or table.lower() in names or table.lower().rpartition(".")[2] in names
+                    kept, excluded, skipped = kept + (row is not None and wanted), excluded + (row is not None and not wanted), skipped + (row is None)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (kept, excluded, skipped)], names=["kept", "excluded", "skipped"])
+
+    each = spark.read.text(path, wholetext=True).mapInArrow(run, "kept long, excluded long, skipped long")
+    return each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kept", "excluded", "skipped")))
+
+
+def read_sosd(spark: SparkSession, path: str) -> DataFrame:
+    """position and key (decimal) of binary files of 64-bit unsigned keys after their number; a file that is too short fails."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                n = int.from_bytes(data[:8], "little")
+                keys = np.frombuffer(data, "<u8", n, 8)
+                for at in range(0, n, 1 << 16):
+                    part = pa.array(keys[at : at + (1 << 16)]).cast(pa.decimal128(20, 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), part], names=["position", "key"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "position long, key decimal(20,0)")
+
+
 class _Scanner:
     """Reads tokens of SQL text: words, quoted names, literals and signs."""
 
@@ -249,6 +282,11 @@ class _Scanner:
 
 def dump_rows(text: str) -> Iterator[tuple[str, dict[str, str | None]]]:
     """(table, row) of each row of a dump. Without a column list, columns are c0, c1, ..."""
+    return ((table, row) for table, row in dump_events(text) if row is not None)
+
+
+def dump_events(text: str) -> Iterator[tuple[str, dict[str, str | None] | None]]:
+    """The same, and (verb, None) for each statement that is passed over."""
     s = _Scanner(text)
     while s.peek():
         start = s.at
@@ -268,6 +306,7 @@ def dump_rows(text: str) -> Iterator[tuple[str, dict[str, str | None]]]:
                         yield table, dict(zip(columns or [f"c{i}" for i in range(len(cells))], cells, strict=True))
                 s.at = at + 3
                 continue
+            yield verb, None
         elif verb == "INSERT":
             while (before := s.at) is not None and s.word().upper() in ("INTO", "IGNORE", "LOW_PRIORITY", "DELAYED"):
                 pass
@@ -290,9 +329,13 @@ def dump_rows(text: str) -> Iterator[tuple[str, dict[str, str | None]]]:
                     yield table, dict(zip(columns or [f"c{i}" for i in range(len(cells))], cells, strict=True))
                     if not s.take(","):
                         break
+            else:
+                yield verb, None
         elif not verb and s.at == start:
             s.at += 1
             continue
+        else:
+            yield verb, None
         s.statement_end()
 
 
