@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def count(text: Column, pattern: str) -> Column:
+    """How often a pattern stands in a text, overlapping places counted; 0 for an empty pattern or a null."""
+    if not pattern:
+        return F.lit(0)
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?={re.escape(pattern)})"))
+
+
 def places(text: Column, pattern: str) -> Column:
-    """All places (from 0, overlapping ones too) of a pattern in a text, ascending; none for an empty pattern or a null."""
-    n = len(pattern)
-    text = F.coalesce(text, F.lit(""))
-    starts = F.sequence(F.lit(0), F.length(text) - n)
-    found = F.filter(starts, lambda i: F.substring(text, i + 1, F.lit(n)) == pattern)
-    return F.when((F.lit(n) > 0) & F.contains(text, F.lit(pattern)), found).otherwise(F.array().cast("array<int>"))
+    """All places (from 0, overlapping ones too) of a pattern in a text, ascending; none for an empty pattern or a null.
 
+    Each is looked for from the one before on, so the text is read about once for each place and no substring is made.
+    """
+    none = F.array().cast("array<int>")
+    n = count(text, pattern)
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-def count(text: Column, pattern: str) -> Column:
-    return F.size(places(text, pattern))
+    def step(s: Column, _: Column) -> Column:
+        at = F.call_function("locate", F.lit(pattern), text, s["at"] + 1)
+        return F.struct(at.alias("at"), F.concat(s["found"], F.array(at - 1)).alias("found"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["found"])).otherwise(none)
 
 
 def mismatches(a: Column, pattern: str) -> Column:
