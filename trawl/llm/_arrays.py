@@ -7,7 +7,9 @@ own), so memory does not depend on the size of a partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,33 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to give large blocks back to the system as they are freed; None where it can't be told.
+
+    Workers are kept between tasks, and several share an executor's memory, so what one has freed must not stay with it.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # from this size on, a block is mapped by itself
+        libc.mallopt(-1, 16 << 20)  # free memory at the top that is kept
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The same; at the end, memory that is free goes back to the system."""
+    libc = _libc()
+    yield from batches
+    if libc is not None:
+        libc.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have at most max_bytes bytes, or one row."""
-    for batch in batches:
+    for batch in tidy(batches):
         n = batch.num_rows
         if not n:
             continue

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, mix, ranges
+from ._arrays import U64, mix, ranges, tidy
 from ._components import connected_components
 from ._pack import pack_steps, unpack_steps
 from ._spark import cut, drop
@@ -122,7 +122,7 @@ def _collide(group: pa.Table) -> pa.Table:
     all items of a bucket of which a task has combined some, and those that it has combined.
     """
     keys, ids, first, pairs, members = [], [], [], [], []
-    for kind, k, i in zip(group.column("kind").to_pylist(), group.column("keys").to_pylist(), group.column("ids").to_pylist(), strict=True):
+    for kind, k, i in tidy(zip(group.column("kind").to_pylist(), group.column("keys").to_pylist(), group.column("ids").to_pylist(), strict=True)):
         k, i = unpack_steps(k, np.uint64), unpack_steps(i, np.int64)
         if kind == WHOLE:
             i = np.unique(i)
@@ -194,7 +194,7 @@ def _distinct(kinds: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]
 
 def _confirm(ratio: tuple[int, int], to_sets: Sets):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             at, ends = 0, np.cumsum(batch.column("n").to_numpy())
             while at < batch.num_rows:  # parts of bounded weight, or one pair
                 to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WEIGHT, side="right")), at + 1)
@@ -219,7 +219,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each tile, from batches in the order of tiles."""
     held: list[pa.RecordBatch] = []
     now = None
-    for batch in batches:
+    for batch in tidy(batches):
         tile = batch.column("tile").to_numpy()
         cuts = np.flatnonzero(tile[1:] != tile[:-1]) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(tile)], strict=True):

@@ -190,7 +190,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in A.blocks(batches):
         texts, total, gone = [], [], []
         for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
             own = text.split("\n") if text else []
