@@ -447,16 +447,16 @@ def test_decontamination(spark, docs, texts, empty):
                     hit |= set(range(k, k + size))
         want.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    index = decontam.build_index(docs)
-    got = decontam.contamination(index, bench).collect()
+    postings = decontam.build_postings(docs)
+    got = decontam.contamination(postings, bench).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
     small = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta y gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
     probe = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
-    shards = decontam.build_index(small)
+    shards = decontam.build_postings(small)
     assert [(r.doc_id, r.start, r.end) for r in decontam.matches(shards, probe).collect()] == [(1, 0, 3)]
     assert sorted((r.doc_id, r.start, r.end) for r in decontam.matches(shards, probe, slop=2).collect()) == [(1, 0, 3), (2, 0, 5)]
-    assert decontam.contamination(decontam.build_index(empty), bench).count() == 0
-    assert decontam.contamination(index, bench.filter("false")).filter("contaminated").count() == 0
+    assert decontam.contamination(decontam.build_postings(empty), bench).count() == 0
+    assert decontam.contamination(postings, bench.filter("false")).filter("contaminated").count() == 0
 
 
 def test_quality(docs, texts, empty):

@@ -92,5 +92,5 @@ def test_quality_filter_stays_above_its_lambdas(spark):
     df = spark.createDataFrame([(1, words), (2, "x")], "doc_id long, text string")
     kept = quality.keep(df)
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Filter (isnotnull(kept") < plan.index("Generate") and plan.count("Filter (") == 1
+    assert 0 <= plan.find("Filter (isnotnull(kept") < plan.find("Generate") and plan.count("Filter (") == 1
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(df).filter("kept").collect()} == {1}

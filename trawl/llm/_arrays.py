@@ -157,7 +157,7 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the words at which a window of `size` words of one text begins, and the text of each."""
+    """Places of the words at which a window of `size` words of one text begins, and the text of each."""
     counts = np.maximum(np.diff(first) - size + 1, 0)
     doc = np.repeat(np.arange(len(counts)), counts)
     begin = np.cumsum(counts) - counts

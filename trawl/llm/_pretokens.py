@@ -114,7 +114,7 @@ def _fast(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pretokens(column: pa.Array, own: Rules) -> tuple[np.ndarray, np.ndarray, list[bytes | int]]:
-    """Of each text the pre-tokens, as indexes into a list of distinct ones, and where each text's begin."""
+    """Of each text the pre-tokens, as places in a list of distinct ones, and where each text's begin."""
     data, offsets = buffer_of(column)
     raw = data.tobytes()
     texts = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -125,14 +125,14 @@ def pretokens(column: pa.Array, own: Rules) -> tuple[np.ndarray, np.ndarray, lis
     words = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(packed)).astype(np.int64)), pa.py_buffer(packed)])
     coded = words.dictionary_encode()
     distinct: list[bytes | int] = coded.dictionary.to_pylist()
-    index = coded.indices.to_numpy()
+    number = coded.indices.to_numpy()
     if plain.all():
-        return index, first, distinct
+        return number, first, distinct
     known: dict[bytes | int, int] = {w: i for i, w in enumerate(distinct)}
     parts = []
     for row, ok in enumerate(plain):
         if ok:
-            parts.append(index[first[row] : first[row + 1]])
+            parts.append(number[first[row] : first[row + 1]])
         else:
-            parts.append(np.array([known.setdefault(w, len(known)) for w in own.slow(texts[row].decode())], index.dtype))
+            parts.append(np.array([known.setdefault(w, len(known)) for w in own.slow(texts[row].decode())], number.dtype))
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), list(known)

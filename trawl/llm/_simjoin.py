@@ -1,6 +1,6 @@
 """Similarity components: signatures collide on keys, candidates are confirmed on full sets, links are joined.
 
-Used by line dedup (banded MinHash keys) and by near-dup detection (multi-index Hamming keys); they differ in the keys
+Used by line dedup (banded MinHash keys) and by near-dup detection (multi-key Hamming keys); they differ in the keys
 of a signature and in where the sets come from. Two items that share a key (a bucket) are a candidate pair, and every
 candidate pair is decided by its full sets, or by links that already join its two ends:
 

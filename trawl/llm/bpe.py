@@ -295,8 +295,8 @@ class WordIds:
 
     def block(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, one after the other, and where each text's begin."""
-        index, first, distinct = pretokens(column, self.own)
-        at = self.find(distinct)[index]
+        number, first, distinct = pretokens(column, self.own)
+        at = self.find(distinct)[number]
         counts = self.begins[at + 1] - self.begins[at]
         total = np.concatenate([[0], np.cumsum(counts)])
         return self.ids[A.ranges(self.begins[at], counts)], total[first]

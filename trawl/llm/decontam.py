@@ -1,6 +1,6 @@
-"""Benchmark decontamination by a distributed positional inverted index.
+"""Benchmark decontamination by a distributed positional inverted lists.
 
-`build_index` shards the training documents: a shard holds, for each of its terms, the ascending positions of all its
+`build_postings` shards the training documents: a shard holds, for each of its terms, the ascending positions of all its
 occurrences, and is a row of a table in the shared folder. Test items are a stated query set. Their terms' frequencies
 are summed over all shards first, from the columns that have them; each phrase then has its terms from the rarest of
 the collection on. A shard answers all phrases at once: those of which it lacks a term drop out, the lists of the others'
@@ -42,12 +42,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in A.blocks(batches, max_bytes=4 * A.BLOCK_BYTES):
         words, first = words_of(block.column("text"))
         coded = words.dictionary_encode()
-        index, terms = coded.indices.to_numpy().astype(np.uint64), coded.dictionary
+        number, terms = coded.indices.to_numpy().astype(np.uint64), coded.dictionary
         counts = np.diff(first)
         # a place is left free between documents, so that no phrase runs over an end
-        places = np.arange(len(index)) + np.repeat(np.arange(len(counts)), counts)
-        order = np.sort((index << A.U64(32)) | places.astype(np.uint64))
-        df = np.bincount(index.astype(np.int64), minlength=len(terms))
+        places = np.arange(len(number)) + np.repeat(np.arange(len(counts)), counts)
+        order = np.sort((number << A.U64(32)) | places.astype(np.uint64))
+        df = np.bincount(number.astype(np.int64), minlength=len(terms))
         data, offsets = A.buffer_of(terms)
         ids = block.column("id")
         table = np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)])
@@ -57,8 +57,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of the texts of docs, as a written table of shards. Null texts have no words; every row is indexed."""
+def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings of the texts of docs, as a written table of shards. Null texts have no words; every row is in them."""
     return cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_shards, _SHARD))
 
 
@@ -130,13 +130,13 @@ class Queries:
     def __init__(self, ids: list[int], texts: list[str], window: int):
         words, first = words_of(pa.array(texts, pa.string()))
         coded = words.dictionary_encode()
-        self.terms, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.terms, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         seen: dict[bytes, int] = {}
         windows: list[np.ndarray] = []
         self.items: list[list[int]] = []
         for item, lo, hi in zip(ids, first, first[1:], strict=False):
             for at in range(lo, max(hi - window, lo) + 1) if hi > lo else ():
-                own = index[at : min(at + window, hi)]
+                own = number[at : min(at + window, hi)]
                 k = seen.setdefault(own.tobytes(), len(windows))
                 if k == len(windows):
                     windows.append(own)
@@ -173,7 +173,7 @@ class Queries:
         return np.repeat(np.arange(len(windows)), counts), np.array([i for w in windows for i in self.items[w]], np.int64)
 
 
-def _query_blocks(index: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str) -> list:
+def _query_blocks(postings: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str) -> list:
     """The items in blocks of bounded size, with the order of their terms by the frequency in all shards, as broadcasts."""
     read = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -192,7 +192,7 @@ def _query_blocks(index: DataFrame, items: DataFrame, window: int, id_col: str,
                     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(unpack(row["df"], np.uint32)[at[some]].astype(np.int64))], names=["term", "n"])
 
         df = np.zeros(len(terms), np.int64)
-        for r in index.select("terms", "sizes", "df").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # terms of the stated items
+        for r in postings.select("terms", "sizes", "df").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # terms of the stated items
             df[r.term] = r.n
         own.rank(df)
         out.append(items.sparkSession.sparkContext.broadcast(own))
@@ -205,13 +205,13 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             yield Shard({n: batch.column(n)[k].as_py() for n in batch.schema.names})
 
 
-def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def matches(postings: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start, end (words of the document) of every window of an item that occurs in a document.
 
     A window is `window` consecutive words of an item, or all words of a shorter one. slop 0: exact phrases; else the
     words in order with at most `slop` others between them. Items of null id or text, or without a word, match nothing.
     """
-    held = _query_blocks(index, items, window, id_col, text_col)
+    held = _query_blocks(postings, items, window, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shard_rows(batches):
@@ -222,15 +222,15 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0,
                 arrays = [pa.array(shard.ids[doc], mask=shard.valid[doc] == 0), pa.array(item), pa.array(first[at] - shard.begins[doc]), pa.array(last[at] - shard.begins[doc] + 1)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "start", "end"])
 
-    return index.mapInArrow(run, "doc_id long, item_id long, start long, end long").distinct()
+    return postings.mapInArrow(run, "doc_id long, item_id long, start long, end long").distinct()
 
 
-def contamination(index: DataFrame, items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row for each indexed document: doc_id, n_words, n_hit (words in any matching window), n_items, items_sha256, contaminated.
+def contamination(postings: DataFrame, items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """One row for each document of the postings: doc_id, n_words, n_hit (words in any matching window), n_items, items_sha256, contaminated.
 
     items_sha256: of the matching item ids, sorted as strings and joined by commas ('' if none).
     """
-    held = _query_blocks(index, items, window, id_col, text_col)
+    held = _query_blocks(postings, items, window, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shard_rows(batches):
@@ -250,4 +250,4 @@ def contamination(index: DataFrame, items: DataFrame, window: int = 10, id_col:
             arrays = [pa.array(shard.ids, mask=shard.valid == 0), pa.array(shard.counts), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array(digests), pa.array(n_hit > 0)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return postings.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -122,7 +122,8 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> M
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM))
     weights, bias = rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
-    data = [(langs.index(lang), rows, (counts / counts.sum())[:, None]) for lang, rows, counts in samples if len(rows)]
+    place = {lang: i for i, lang in enumerate(langs)}
+    data = [(place[lang], rows, (counts / counts.sum())[:, None]) for lang, rows, counts in samples if len(rows)]
     fit, held = [x for i, x in enumerate(data) if i % 5], data[::5]
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):

@@ -1,4 +1,4 @@
-"""MinHash near-dedup by a multi-index Hamming join.
+"""MinHash near-dedup by a multi-key Hamming join.
 
 A document is its set of distinct word shingles. Equal sets are one class. A class has a signature of 16-bit
 MinHash values. Two sets of similarity t differ in each value with probability 1 - t, so a bound on the signature

@@ -36,8 +36,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = decontam.build_index(_documents(spark, sf_dir))
-    return decontam.contamination(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    postings = decontam.build_postings(_documents(spark, sf_dir))
+    return decontam.contamination(postings, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ def _split(path: str, groups: int):
         own = rules(path)
         for part in A.blocks(batches, max_bytes=4 * A.BLOCK_BYTES):
             block = secrets.randbits(63)
-            index, first, distinct = pretokens(part.column("text"), own)
+            number, first, distinct = pretokens(part.column("text"), own)
             n = len(distinct)
             doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-            cells, freq = np.unique(doc.astype(np.int64) * max(n, 1) + index, return_counts=True)
+            cells, freq = np.unique(doc.astype(np.int64) * max(n, 1) + number, return_counts=True)
             special = np.array([isinstance(w, int) for w in distinct], bool)
             words = np.array([b"" if isinstance(w, int) else w for w in distinct], object)
             sizes = np.fromiter(map(len, words), np.int64, n)
