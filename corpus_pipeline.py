@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null texts have no passage and stay, as do all rows if no item has a word.
     """
     named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    verdicts = decontam.contamination(decontam.build_index(named, "_row"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    verdicts = decontam.contamination(decontam.build_postings(named, "_row"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return named.join(verdicts.filter("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*COLUMNS)
 
 

@@ -35,8 +35,9 @@ def test_query(spark, con, name):
     df = catalog.queries()[name](spark, DATA)
     made = con.execute(catalog.oracle_sql()[name])
     columns = [d[0] for d in made.description]
+    place = {c: i for i, c in enumerate(columns)}
     assert sorted(df.columns) == sorted(columns)
-    want = sorted((tuple(normal(r[columns.index(c)]) for c in sorted(columns)) for r in made.fetchall()), key=repr)
+    want = sorted((tuple(normal(r[place[c]]) for c in sorted(columns)) for r in made.fetchall()), key=repr)
     assert sorted((tuple(normal(r[c]) for c in sorted(columns)) for r in df.collect()), key=repr) == want
 
 

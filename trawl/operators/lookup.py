@@ -384,7 +384,7 @@ class SearchTables:
     def phrase_docs(self, phrases: Sequence[tuple[str, int, int, int, str]]) -> DataFrame:
         """phrase, query_id, doc_id where the words of a phrase (phrase, query_id, n, i, word) stand in order in one field.
 
-        Words are joined with places once; equal begins (position less index) with all n words are a match.
+        Words are joined with places once; equal begins (position less place in the phrase) with all n words are a match.
         """
         at = self.places.join(self._local(list(phrases), "phrase string, query_id long, n int, i int, term string"), "term").withColumn("begin", F.col("pos") - F.col("i"))
         whole = at.groupBy("phrase", "query_id", "n", "doc_id", "field", "begin").agg(F.count("*").alias("have")).filter("have = n")

@@ -163,6 +163,11 @@ class _Scanner:
     def __init__(self, text: str, at: int = 0):
         self.text, self.at = text, at
 
+    def find(self, what: str, at: int) -> int:
+        if (found := self.text.find(what, at)) < 0:
+            raise ValueError(f"{what} is missing")
+        return found
+
     def skip(self) -> None:
         t = self.text
         while self.at < len(t):
@@ -245,7 +250,7 @@ class _Scanner:
             out = self.string(c in "eE")
         elif c == "$" and (end := self.text.find("$", self.at + 1)) > 0:
             tag = self.text[self.at : end + 1]
-            stop = self.text.index(tag, end + 1)
+            stop = self.find(tag, end + 1)
             out, self.at = self.text[end + 1 : stop], stop + len(tag)
         else:
             start, depth = self.at, 0
@@ -264,7 +269,7 @@ class _Scanner:
             self.at += 2
             self.name()
             if self.take("("):
-                self.at = self.text.index(")", self.at) + 1
+                self.at = self.find(")", self.at) + 1
             while self.text.startswith("[]", self.at):
                 self.at += 2
         return out
