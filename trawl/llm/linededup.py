@@ -180,12 +180,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = found.groupBy("lo", "hi").agg(F.min(F.struct("doc", "row", "line")).alias("first"), F.count("*").alias("n"))
     each = each.join(linked, (F.col("lo") == F.col("lid")) & (F.col("hi") == F.col("lhi")), "left").filter("n > 1 OR label IS NOT NULL")
     each = cut(each.select("lo", "hi", "first", "label"))
-    firsts = each.filter("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("first").alias("least"))
+    # written, so that the join below has an exchange on both sides and adaptive execution may split a large component
+    firsts = cut(each.filter("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("first").alias("least")))
     known = each.join(firsts, F.col("label") == F.col("of"), "left").select(F.col("lo").alias("l"), F.col("hi").alias("h"), F.coalesce("least", "first").alias("first"))
     known = cut(known)
     gone = found.join(known, (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h"))).filter(F.struct("doc", "row", "line") != F.col("first"))
     out = cut(gone.groupBy("doc", "row").agg(F.collect_set("line").alias("lines")))
-    drop(labels, held, each, known, *tables)
+    drop(labels, held, each, firsts, known, *tables)
     return out
 
 
