@@ -124,21 +124,36 @@ tf AS (SELECT term, doc_id, count(*) AS c FROM pos GROUP BY ALL), dict AS (SELEC
 _CANON = "floor(x / pow(2.0, floor(log2(x)) - 20) + 0.5) * pow(2.0, floor(log2(x)) - 20)"
 
 
-_BUILT: dict[tuple[str, str], SearchTables] = {}
+_BUILT: dict[tuple, SearchTables] = {}
 
 
 def build(spark: SparkSession, sf_dir: str) -> SearchTables:
     return SearchTables.build(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), [Field("text", 1.0, 0.75)], "doc_id")
 
 
+def _in_three(spark: SparkSession, sf_dir: str) -> SearchTables:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars", (F.col("doc_id") % 777).alias("sku"))
+    first = SearchTables.build(rows.filter("doc_id % 4 = 0"), [Field("text", 1.0, 0.75)], "doc_id", key="sku")
+    return first.push(rows.filter("doc_id % 4 = 1"), "doc_id").push(rows.filter("doc_id % 4 > 1"), "doc_id")
+
+
+def _kept(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], SearchTables]) -> SearchTables:
+    """Tables built once for a session and folder, as those of a service would be; those of other folders are released."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    for old in [k for k in _BUILT if k[:2] != place]:
+        _BUILT.pop(old).unpersist()
+    if (*place, make) not in _BUILT:
+        _BUILT[*place, make] = make(spark, sf_dir).persist()
+    return _BUILT[*place, make]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> SearchTables:
-    """The tables of documents, built once for a session and folder, as those of a service would be; the last ones are released."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        while _BUILT:
-            _BUILT.popitem()[1].unpersist()
-        _BUILT[key] = build(spark, sf_dir).persist()
-    return _BUILT[key]
+    return _kept(spark, sf_dir, build)
+
+
+def _segments_of(spark: SparkSession, sf_dir: str) -> SearchTables:
+    """Three segments, of which later ones replace keys of earlier ones."""
+    return _kept(spark, sf_dir, _in_three)
 
 
 def asked(spark: SparkSession, *texts: str) -> DataFrame:
@@ -281,11 +296,8 @@ def _deleted(spark, sf_dir):
     return _hits(documents(spark, sf_dir).delete(table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id")).search(asked(spark, *_TEXTS), 10))
 
 
-def _segments_of(spark, sf_dir) -> SearchTables:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars", (F.col("doc_id") % 777).alias("sku"))
-    first = SearchTables.build(rows.filter("doc_id % 4 = 0"), [Field("text", 1.0, 0.75)], "doc_id", key="sku")
-    return first.push(rows.filter("doc_id % 4 = 1"), "doc_id").push(rows.filter("doc_id % 4 > 1"), "doc_id")
-
+_TYPED = """ahead AS (SELECT term, df FROM dict WHERE starts_with(term, 'wa')),
+q AS (SELECT 0 AS query_id, 0 AS grp, 'that' AS term, 0 AS dist, 3 AS pen, 2 AS n UNION ALL SELECT 0, 1, term, 0, 3, 2 FROM ahead QUALIFY row_number() OVER (ORDER BY df, term) <= 16)"""
 
 _SHADOWED = "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 777 ORDER BY least(doc_id % 4, 2) DESC, doc_id DESC) AS z FROM documents) WHERE z > 1"
 
@@ -296,6 +308,41 @@ def _segments_search(spark, sf_dir):
     return _hits(_segments_of(spark, sf_dir).search(asked(spark, *_TEXTS), 10))
 
 
+@add("segment_typeahead", _ranked(_TYPED, anchor="head = 'that'", extra=f"AND doc_id NOT IN ({_SHADOWED})"))
+def _segment_typeahead(spark, sf_dir):
+    return _hits(_segments_of(spark, sf_dir).search(asked(spark, "that wa"), 10, typing=True))
+
+
+@add("segment_phrase", _ranked(_exactly({0: ["that", "the"]}), extra=_OF_THE + f" AND doc_id NOT IN ({_SHADOWED})"))
+def _segment_phrase(spark, sf_dir):
+    return _hits(_segments_of(spark, sf_dir).search(asked(spark, '"that the"'), 10))
+
+
+@add("segment_filtered", _ranked(_exactly(_WORDS), where="lang IN ('en', 'de') AND n_chars >= 500 AND n_chars < 3000", extra=f"AND doc_id NOT IN ({_SHADOWED})", offset=5))
+def _segment_filtered(spark, sf_dir):
+    return _hits(_segments_of(spark, sf_dir).search(asked(spark, *_TEXTS), 10, offset=5, where=facet_clause("lang", ["en", "de"]) & in_range("n_chars", 500, 3000)))
+
+
+@add("segment_sorted", _ranked(_exactly(_WORDS), where="n_chars IS NOT NULL", order="n_chars,", raw=True, extra=f"AND doc_id NOT IN ({_SHADOWED})"))
+def _segment_sorted(spark, sf_dir):
+    return _hits(_segments_of(spark, sf_dir).search(asked(spark, *_TEXTS), 10, sort=("n_chars", True)))
+
+
+@add("segment_tally", f"WITH {_POST} SELECT 0 AS query_id, lang AS label, count(*) AS n FROM tok WHERE doc_id NOT IN ({_SHADOWED}) AND doc_id IN (SELECT doc_id FROM tf WHERE term IN ('that', 'was')) GROUP BY lang")
+def _segment_tally(spark, sf_dir):
+    return _segments_of(spark, sf_dir).facet_tally(asked(spark, _TEXTS[0]), "lang")
+
+
+@add("segment_histogram", f"WITH {_POST} SELECT 0 AS query_id, b AS bin, (SELECT count(*) FROM tok WHERE n_chars >= lo AND n_chars < hi AND doc_id NOT IN ({_SHADOWED}) AND doc_id IN (SELECT doc_id FROM tf WHERE term IN ('that', 'was'))) AS n FROM (VALUES (0, 0, 500), (1, 500, 2000), (2, 2000, 10000)) t(b, lo, hi)")
+def _segment_histogram(spark, sf_dir):
+    return _segments_of(spark, sf_dir).range_tally(asked(spark, _TEXTS[0]), "n_chars", [0, 500, 2000, 10_000])
+
+
+@add("segment_count_all", f"WITH {_POST} SELECT 0 AS query_id, (SELECT count(*) FROM (SELECT doc_id FROM tf WHERE term IN ('that', 'was') AND doc_id NOT IN ({_SHADOWED}) GROUP BY doc_id HAVING count(*) = 2)) AS n")
+def _segment_count(spark, sf_dir):
+    return _segments_of(spark, sf_dir).count(asked(spark, "that was"), "all")
+
+
 @add("segment_counts", f"SELECT 3 AS segments, count(*) AS docs, (SELECT count(*) FROM ({_SHADOWED})) AS deleted, count(*) - (SELECT count(*) FROM ({_SHADOWED})) AS live FROM documents")
 def _segment_counts(spark, sf_dir):
     return _segments_of(spark, sf_dir).counts()
@@ -381,10 +428,6 @@ def _context(spark, sf_dir):
     return documents(spark, sf_dir).planned_terms(asked(spark, "thta wsa")).select("query_id", "grp", "term", "dist")
 
 
-_TYPED = """ahead AS (SELECT term, df FROM dict WHERE starts_with(term, 'wa')),
-q AS (SELECT 0 AS query_id, 0 AS grp, 'that' AS term, 0 AS dist, 3 AS pen, 2 AS n UNION ALL SELECT 0, 1, term, 0, 3, 2 FROM ahead QUALIFY row_number() OVER (ORDER BY df, term) <= 16)"""
-
-
 @add("typeahead", _ranked(_TYPED, anchor="head = 'that'"))
 def _typeahead(spark, sf_dir):
     return _hits(documents(spark, sf_dir).search(asked(spark, "that wa"), 10, typing=True))
