@@ -12,6 +12,7 @@ it, so chunk data need not travel. `read_ids` reconstructs the id streams.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,10 @@ from .bpe import WordIds
 ROLLING, MASK, LEAST, MOST = 16, 0xFF, 64, 2048
 
 
+#: Pre-tokens that the library takes in a text of many, and gives back one by one: ASCII without capitals, and letters from ß to ÿ.
+_PLAIN = re.compile(rb"[!-@\[-~]+|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
 class LibraryIds(WordIds):
     """Ids of pre-tokens as the tokenizer library encodes them."""
 
@@ -38,27 +43,24 @@ class LibraryIds(WordIds):
         if not hasattr(own, "is_end"):
             own.is_end = np.zeros(max([*own.vocab.values(), *own.special.values()]) + 1, bool)
             own.is_end[[i for t, i in own.vocab.items() if t.endswith("</w>")]] = True
-        plain = [w for w in words if w and w.isascii()]
+        plain = np.fromiter((_PLAIN(w) is not None for w in words), bool, len(words))
         ids = [np.zeros(0, np.int32)]
-        for lo in range(0, len(plain), 5000):
-            text = b" ".join(plain[lo : lo + 5000]).decode()
+        asked = [w for w, ok in zip(words, plain.tolist(), strict=True) if ok]
+        for lo in range(0, len(asked), 5000):
+            text = b" ".join(asked[lo : lo + 5000]).decode()
             ids.append(np.array(own.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32))
         flat = np.concatenate(ids)
         ends = np.flatnonzero(own.is_end[flat]) + 1
-        if len(ends) != len(plain):
+        if len(ends) != len(asked):
             raise ValueError("the library split a pre-token")
-        if len(plain) == len(words):
+        if len(asked) == len(words):
             return flat, np.concatenate([[0], ends])
-        of_plain = iter(np.split(flat, ends[:-1]) if len(plain) else [])
-        parts = []
-        for w in words:
-            if not w:
-                parts.append(flat[:0])
-            elif w.isascii():
-                parts.append(next(of_plain))
-            else:
-                parts.append(np.array([t.id for t in own.library.model.tokenize("".join(own.char_of[b] for b in w))], np.int32))
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        others = [np.array([t.id for t in own.library.model.tokenize("".join(own.char_of[b] for b in w))] if w else [], np.int32) for w, ok in zip(words, plain.tolist(), strict=True) if not ok]
+        counts = np.zeros(len(words), np.int64)
+        counts[plain], counts[~plain] = np.diff(ends, prepend=0), [len(x) for x in others]
+        out, of_plain = np.empty(int(counts.sum()), np.int32), np.repeat(plain, counts)
+        out[of_plain], out[~of_plain] = flat, np.concatenate(others)
+        return out, np.concatenate([[0], np.cumsum(counts)])
 
 
 def chunk_ends(ids: np.ndarray, begins: np.ndarray) -> list[list[int]]:
@@ -103,7 +105,7 @@ def id_kind(own: Rules) -> str:
 def _chunker(path: str, end_id: int | None, kind: str):
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LibraryIds(rules(path))
-        for block in A.blocks(batches):
+        for block in A.blocks(batches, max_bytes=3 * A.BLOCK_BYTES):
             ids, begins = own.block(block.column("text"))
             if end_id is not None:
                 ids = np.insert(ids, begins[1:], end_id)
