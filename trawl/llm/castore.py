@@ -29,6 +29,8 @@ from ._spark import cut, drop, groups_for
 from .bpe import WordIds
 
 ROLLING, MASK, LEAST, MOST = 16, 0xFF, 64, 2048
+#: Pre-tokens that the library gets in one text.
+TOGETHER = 500
 
 
 #: Pre-tokens that the library takes in a text of many, and gives back one by one: ASCII without capitals, and letters from ß to ÿ.
@@ -46,8 +48,8 @@ class LibraryIds(WordIds):
         plain = np.fromiter((_PLAIN(w) is not None for w in words), bool, len(words))
         ids = [np.zeros(0, np.int32)]
         asked = [w for w, ok in zip(words, plain.tolist(), strict=True) if ok]
-        for lo in range(0, len(asked), 5000):
-            text = b" ".join(asked[lo : lo + 5000]).decode()
+        for lo in range(0, len(asked), TOGETHER):
+            text = b" ".join(asked[lo : lo + TOGETHER]).decode()
             ids.append(np.array(own.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32))
         flat = np.concatenate(ids)
         ends = np.flatnonzero(own.is_end[flat]) + 1
