@@ -27,6 +27,8 @@ from trawl.plans import planner as P
 from trawl.plans import query as Q
 
 MAX_FIELDS = 16
+#: Values up to which a filter is sent to the scan besides the join; more would be a set, which scans don't look into.
+FEW = 10
 _PLAN = "query_id long, grp int, term string, dist int, weight double, gain int, n_groups int, all_missing int, ahead boolean"
 _TABLES = ("postings", "places", "docs", "terms", "variants")
 
@@ -161,9 +163,9 @@ class SearchTables:
 
     def persist(self) -> SearchTables:
         """Keeps the tables, in memory or on the executors' disks, for a series of searches."""
-        kept = replace(self, **{name: getattr(self, name).persist() for name in ("postings", "places", "docs")})
-        kept = replace(kept, terms=_df(kept.postings).persist())
-        return replace(kept, variants=kept._all_variants().persist(), gone=None if self.gone is None else self.gone.persist())
+        kept = replace(self, postings=_sorted(self.postings, "term").persist(), places=_sorted(self.places, "term").persist(), docs=self.docs.persist())
+        kept = replace(kept, terms=_sorted(_df(kept.postings), "term").persist())
+        return replace(kept, variants=_sorted(kept._all_variants(), "variant").persist(), gone=None if self.gone is None else self.gone.persist())
 
     def unpersist(self) -> None:
         for df in (*(getattr(self, name) for name in _TABLES), self.gone):
@@ -175,7 +177,7 @@ class SearchTables:
         by = {"postings": "term", "places": "term", "docs": "doc_id", "terms": "term", "variants": "variant"}
         spark = self.docs.sparkSession
         for name, column in by.items():
-            getattr(self, name).repartitionByRange(column).sortWithinPartitions(column).write.mode("overwrite").parquet(f"{path}/{name}")
+            _sorted(getattr(self, name), column).write.mode("overwrite").parquet(f"{path}/{name}")
         extra = {"gone": self.gone, "expansion": self.expansion}
         for name, df in extra.items():
             if df is not None:
@@ -210,14 +212,14 @@ class SearchTables:
     def exact(self, words: set[str]) -> dict[str, int]:
         if not words:
             return {}
-        return {r.term: r.df for r in self.terms.join(self._local([(w,) for w in sorted(words)], "term string"), "term").select("term", "df").collect()}
+        return {r.term: r.df for r in _of(self.terms, "term", words).join(self._local([(w,) for w in sorted(words)], "term string"), "term").select("term", "df").collect()}
 
     def near(self, words: dict[str, int]) -> dict[str, list[tuple[str, int, int]]]:
         """Terms within the edits of a word have a variant in common with it."""
         rows = [(w, v) for w, n in words.items() for v in sorted(_variants_of(w, n))]
         if not rows:
             return {}
-        found = self.variants.join(self._local(rows, "word string, variant string"), "variant").select("word", "term", "df").distinct().collect()
+        found = _of(self.variants, "variant", (v for _, v in rows)).join(self._local(rows, "word string, variant string"), "variant").select("word", "term", "df").distinct().collect()
         out: dict[str, list[tuple[str, int, int]]] = {}
         for word, term, df in sorted(map(tuple, found)):
             if (d := S.osa(term, word)) <= words[word]:
@@ -248,7 +250,8 @@ class SearchTables:
         if typed:
             open_ = self._local([(q, 1 << g, w) for q, g, w, _ in typed], "query_id long, bit long, word string")
             rows = rows.union(self._ahead({w: n for _, _, w, n in typed}).join(open_, "word").select("query_id", "bit", "term"))
-        return self.live(self.postings.select("term", "doc_id").join(rows, "term").groupBy("query_id", "doc_id").agg(F.bit_or("bit").alias("bits")))
+        hits = self.postings if typed else _of(self.postings, "term", (t for _, _, t in groups))
+        return self.live(hits.select("term", "doc_id").join(rows, "term").groupBy("query_id", "doc_id").agg(F.bit_or("bit").alias("bits")))
 
     def meetings(self, groups: list[tuple[int, int, str]], typed: list[tuple[int, int, str, int]]) -> dict[int, set[int]]:
         out: dict[int, set[int]] = {}
@@ -306,7 +309,7 @@ class SearchTables:
 
     def _scored(self, plans: list[P.Planned], cap: int) -> DataFrame:
         """query_id, doc_id, part (the raw sum), score and bucket of each live document with a planned term."""
-        hits = self.postings.join(self._weights(plans, cap), "term")
+        hits = _of(self.postings, "term", (t for _, _, t, _, _ in P.weighed(plans, self.n_docs, cap))).join(self._weights(plans, cap), "term")
         ptf = S.pseudo_tf([(F.get("tf", F.lit(i)), F.get("len", F.lit(i)), F.lit(self.averages[i]), f.boost, f.b) for i, f in enumerate(self.fields)])
         groups = range(max((len(p.groups) for p in plans), default=0))
         by_doc = hits.groupBy("query_id", "doc_id").agg(
@@ -342,7 +345,7 @@ class SearchTables:
             hits = hits.join(needed, "query_id").join(has, ["query_id", "doc_id"], "left").filter("needed = 0 OR has = needed").drop("needed", "has")
         out = sorted({(q, w) for q, x in texts.items() for w in x.exclude})
         if out:
-            without = self.postings.select("term", "doc_id").join(self._local(out, "query_id long, term string"), "term").select("query_id", "doc_id")
+            without = _of(self.postings, "term", (w for _, w in out)).select("term", "doc_id").join(self._local(out, "query_id long, term string"), "term").select("query_id", "doc_id")
             hits = hits.join(without, ["query_id", "doc_id"], "left_anti")
         return hits
 
@@ -386,7 +389,7 @@ class SearchTables:
 
         Words are joined with places once; equal begins (position less place in the phrase) with all n words are a match.
         """
-        at = self.places.join(self._local(list(phrases), "phrase string, query_id long, n int, i int, term string"), "term").withColumn("begin", F.col("pos") - F.col("i"))
+        at = _of(self.places, "term", (p[4] for p in phrases)).join(self._local(list(phrases), "phrase string, query_id long, n int, i int, term string"), "term").withColumn("begin", F.col("pos") - F.col("i"))
         whole = at.groupBy("phrase", "query_id", "n", "doc_id", "field", "begin").agg(F.count("*").alias("have")).filter("have = n")
         return whole.select("phrase", "query_id", "doc_id").distinct()
 
@@ -399,7 +402,7 @@ class SearchTables:
             docs = self.phrase_docs([(str(q), q, len(own), i, w) for q, own in asked for i, w in enumerate(own)])
         else:
             rows = [(q, w, len(set(own))) for q, own in asked for w in sorted(set(own))]
-            found = self.postings.select("term", "doc_id").join(self._local(rows, "query_id long, term string, need int"), "term")
+            found = _of(self.postings, "term", (r[1] for r in rows)).select("term", "doc_id").join(self._local(rows, "query_id long, term string, need int"), "term")
             docs = found.groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("have"))
             docs = docs if mode == "any" else docs.filter("have = need")
         counted = self.live(docs).groupBy("query_id").agg(F.count("*").alias("n"))
@@ -509,6 +512,16 @@ def _checksum(df: DataFrame) -> list[int]:
     return [r.n, r.x, r.s]
 
 
+def _sorted(df: DataFrame, column: str) -> DataFrame:
+    return df.repartitionByRange(column).sortWithinPartitions(column)
+
+
+def _of(df: DataFrame, column: str, values: Iterable[str]) -> DataFrame:
+    """Rows that may have one of the values: few of them reach the scan, which skips what its statistics rule out."""
+    values = sorted(set(values))
+    return df.filter(F.col(column).isin(values)) if 0 < len(values) <= FEW else df
+
+
 def same_layout(*tables: SearchTables) -> bool:
     """Whether segments have the same fields and stored columns, so that one search can span them."""
     kinds = [(t.fields, sorted((f.name, f.dataType.simpleString()) for f in t.docs.schema)) for t in tables]
