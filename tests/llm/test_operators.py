@@ -519,3 +519,21 @@ def test_language_id(spark, docs, empty):
     assert langid.fit(empty, F.lit(True)) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.predict(empty, model).count() == 0
+
+
+def test_language_id_full_block(spark):
+    """Blocks whose last text fills the characters that are held at once, so that nothing is left for a last call."""
+    own = {"aa": "ba ra lan ", "bb": "schu kei üb "}
+    samples = [(lang, rows, counts.astype(float)) for lang, text in own.items() for k in range(10) for rows, counts in [np.unique(langid.features([text * (k + 1)])[0], return_counts=True)]]
+    model = langid.train(samples)
+    fill = lambda lang, n: (own[lang] * (n // 10 + 1))[:n]
+    size = langid.PIECE
+    for texts in ([fill("aa", size)], [fill("bb", 7), None, fill("aa", size - 7)], [fill("aa", size // 2), fill("bb", 9), fill("bb", size // 2 + 5)], ["1 " * (size // 2)], [fill("aa", size - 1)]):
+        raw, count = model.raw(texts)
+        for k, text in enumerate(texts):
+            rows = langid.features([text])[0]
+            assert count[k] == len(rows)
+            assert np.allclose(raw[k], model.logits[rows].mean(0) + model.bias if len(rows) else 0)
+    assert langid.features([])[0].size == 0 and langid.features([])[1].tolist() == [0]
+    df = spark.createDataFrame([(1, fill("aa", 20)), (2, fill("bb", size - 20))], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(df, model).collect()} == {(1, "aa"), (2, "bb")}

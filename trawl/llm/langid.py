@@ -66,6 +66,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             h = h * A.U64(0x9E3779B97F4A7C15) + chars[at + k]
         rows.append((A.mix(h) >> A.U64(64 - BITS)).astype(np.int32))
         places.append(at)
+    if not places:  # no texts: a text has two characters at least, those at its ends
+        return np.zeros(0, np.int32), np.zeros(len(first), np.int64)
     place = np.concatenate(places)
     order = np.argsort(place, kind="stable")
     return np.concatenate(rows)[order], np.searchsorted(place[order], first)
@@ -105,7 +107,8 @@ class Model:
                 if held >= PIECE:
                     add(part, of)
                     part, of, held = [], [], 0
-        add(part, of)
+        if part:  # none if the last piece filled what is held
+            add(part, of)
         some = count > 0
         out[some] = out[some] / count[some, None] + self.bias
         return out, count
