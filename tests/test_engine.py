@@ -256,6 +256,27 @@ def test_strings(spark):
     assert [(r.a, r.b, r.share) for r in strings.hash_overlap(hashes, 3).collect()] == [(2, 1, 1.0), (1, 2, 0.5)]
 
 
+def test_hashes_of_few_varying_bits(spark, monkeypatch):
+    """Hashes whose upper half never varies meet few others, and equal brute force, in one group or many."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 30, 900)
+    rows = [(f"i{k % 13}", int(base[k % 900]) ^ (1 << int(rng.integers(30))) ^ (1 << int(rng.integers(30)))) for k in range(2700)]
+    values, names = np.array([h for _, h in rows]), np.array([n for n, _ in rows])
+    frame = spark.createDataFrame(rows, "item string, hash long")
+    for radius, group in ((7, 1 << 18), (7, 50), (3, 50), (0, 1 << 18)):
+        monkeypatch.setattr(strings, "GROUP", group)
+        near = np.bitwise_count(values[:, None] ^ values[None]) <= radius
+        met = {(names[i], rows[i][1], names[j]) for i, j in zip(*np.nonzero(near), strict=True) if names[i] != names[j]}
+        size, want = {n: len({h for m, h in rows if m == n}) for n in set(names)}, {}
+        for a, _, b in met:
+            want[a, b] = want.get((a, b), 0) + 1
+        assert {(r.a, r.b): r.share for r in strings.hash_overlap(frame, radius).collect()} == {k: round(n / size[k[0]], 9) for k, n in want.items()}
+    many = spark.range(30_000).select((F.col("id") % 20).alias("item"), (F.col("id") * 2654435761 % (1 << 40)).alias("hash"))
+    began = time.monotonic()
+    assert strings.hash_overlap(many, 7).count() <= 380
+    assert time.monotonic() - began < 60  # a block that is 0 for all hashes made a billion rows
+
+
 def test_images(spark):
     rng = random.Random(1)
     flat = np.full((40, 50, 3), 77, np.uint8)

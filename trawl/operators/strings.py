@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
+#: Hashes of a group of hash_overlap, about, and those that one step compares with four others or more.
+GROUP, TILE = 1 << 18, 1 << 16
+
 
 def count(text: Column, pattern: str) -> Column:
     """How often a pattern stands in a text, overlapping places counted; 0 for an empty pattern or a null."""
@@ -85,21 +93,69 @@ def shot_spans(scores: DataFrame, threshold: float, duration: Column, least: flo
 def hash_overlap(hashes: DataFrame, radius: int) -> DataFrame:
     """a, b, share of a's hashes (item, hash long) that are within `radius` bits of a hash of b, stronger direction first.
 
-    Hashes meet on blocks of 16 bits: within a radius under 8, some of their four blocks differ in radius // 4 bits at
-    most (none or one), so one side's blocks are also keys with each bit changed.
+    The bits in which hashes differ at all are dealt to four blocks: within a radius under 8, two hashes differ by
+    radius // 4 bits at most (none or one) in some block. A group is a block and the value of its first few bits; a hash
+    goes to its own groups and, as what others may be near, to those that are one bit away. Groups get more as hashes do.
     """
     if not 0 <= radius < 8:
         raise ValueError("the radius is 0 to 7 bits")
-    own = hashes.select("item", "hash").distinct()
-    blocks = F.array(*(F.shiftrightunsigned("hash", 16 * i).bitwiseAND(F.lit(65535).cast("long")) for i in range(4)))
-    flips = [0, *(1 << k for k in range(16))] if radius >= 4 else [0]
-    keyed = own.select("item", "hash", F.posexplode(blocks).alias("at", "block"))
-    other = own.select(F.col("item").alias("b"), F.col("hash").alias("h"), F.posexplode(blocks).alias("at", "own"))
-    other = other.select("b", "h", "at", F.explode(F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: F.col("own").bitwiseXOR(x))).alias("block"))
-    near = keyed.join(other, ["at", "block"]).filter((F.col("item") != F.col("b")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))) <= radius))
-    met = near.select("item", "hash", "b").distinct().groupBy("item", "b").agg(F.count("*").alias("met"))
+    own = written(hashes.select("item", F.col("hash").cast("long").alias("hash")).filter("item IS NOT NULL AND hash IS NOT NULL").distinct())
+    seen = own.agg(F.count("*").alias("n"), F.bit_or("hash").alias("some"), F.bit_and("hash").alias("all")).first()
+    varying = [k for k in range(64) if seen.n and (seen.some & ~seen.all) >> k & 1]
+    blocks, flips = [varying[i::4] for i in range(4)], radius // 4
+    first = min(len(blocks[3]), max(3, (seen.n // GROUP).bit_length()))
+    prefix = [reduce(Column.__add__, (F.shiftleft(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(1).cast("long")), i) for i, k in enumerate(bits[:first])), F.lit(0).cast("long")) for bits in blocks]
+    changes = [0, *(1 << k for k in range(first))] if flips else [0]
+    dealt = own.select("item", "hash", F.posexplode(F.array(*prefix)).alias("at", "prefix"))
+    dealt = dealt.select("item", "hash", "at", "prefix", F.explode(F.array(*map(F.lit, changes))).alias("change"))
+    dealt = dealt.select("item", "hash", "at", F.col("prefix").bitwiseXOR(F.col("change")).alias("prefix"), (F.col("change") == 0).alias("home"))
+    kind = own.schema["item"].dataType.simpleString()
+
+    def met(group: pa.Table) -> pa.Table:
+        at = group.column("at")[0].as_py()
+        values, home = group.column("hash").to_numpy().view(np.uint64), group.column("home").to_numpy()
+        items = group.column("item").combine_chunks().dictionary_encode()
+        items = items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items
+        number, names = items.indices.to_numpy().astype(np.int64), items.dictionary
+        rest = np.zeros(len(values), np.int64)
+        for i, k in enumerate(blocks[at][first:]):
+            rest |= (values >> np.uint64(k) & np.uint64(1)).astype(np.int64) << i
+        order = np.lexsort((rest, ~home))
+        values, number, rest = values[order], number[order], rest[order]
+        n = int(home.sum())
+        keys, begins = np.unique(rest[:n], return_index=True)
+        ends = np.append(begins[1:], n)
+        place = {k: slice(b, e) for k, b, e in zip(keys.tolist(), begins.tolist(), ends.tolist(), strict=True)}
+        sides = [(x, y) for x, y in zip(n + np.searchsorted(rest[n:], keys), n + np.searchsorted(rest[n:], keys, "right"), strict=True)]
+        masks = [np.uint64(sum(1 << k for k in bits)) for bits in blocks[:at]]
+        rows, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for key, side in zip(keys.tolist(), sides, strict=True):
+            near = [place[key], slice(*side), *(place[x] for k in range(len(blocks[at]) - first if flips else 0) if (x := key ^ 1 << k) in place)]
+            theirs, names_of = np.concatenate([values[x] for x in near]), np.concatenate([number[x] for x in near])
+            begin, end = place[key].start, place[key].stop
+            for c in range(0, len(theirs), TILE):
+                t, o = theirs[c : c + TILE], names_of[c : c + TILE]
+                step = max(1, TILE * 4 // len(t))
+                for b in range(begin, end, step):
+                    mine = values[b : min(end, b + step)]
+                    row, col = np.divmod(np.flatnonzero(np.bitwise_count(mine[:, None] ^ t[None]) <= radius), len(t))
+                    keep = number[b + row] != o[col]
+                    row, col = row[keep], col[keep]
+                    apart = mine[row] ^ t[col]
+                    fresh = np.ones(len(row), bool)  # a pair that an earlier block has is met there
+                    for mask in masks:
+                        fresh &= np.bitwise_count(apart & mask) > flips
+                    found = np.unique((b + row[fresh]) * len(names) + o[col[fresh]])
+                    rows.append(found // len(names))
+                    others.append(found % len(names))
+        row, other = np.concatenate(rows), np.concatenate(others)
+        columns = [names.take(pa.array(number[row])), pa.array(values[row].view(np.int64)), names.take(pa.array(other))]
+        return pa.Table.from_arrays(columns, names=["item", "hash", "b"])
+
+    near = dealt.groupBy("at", "prefix").applyInArrow(met, f"item {kind}, hash long, b {kind}")
+    met_by = near.distinct().groupBy("item", "b").agg(F.count("*").alias("met"))
     sizes = own.groupBy("item").agg(F.count("*").alias("size"))
-    return met.join(sizes, "item").select(F.col("item").alias("a"), "b", F.round(F.col("met") / F.col("size"), 9).alias("share")).orderBy(F.col("share").desc(), "a", "b")
+    return met_by.join(sizes, "item").select(F.col("item").alias("a"), "b", F.round(F.col("met") / F.col("size"), 9).alias("share")).orderBy(F.col("share").desc(), "a", "b")
 
 
 def pair_table(hashes: DataFrame, radius: int) -> DataFrame:
