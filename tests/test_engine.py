@@ -106,6 +106,32 @@ def test_segments_and_files(spark, tmp_path):
         SearchTables.load(spark, f"{tmp_path}/x")
 
 
+def test_search_tables_are_made_for_what_is_asked(spark, tmp_path):
+    """Of postings only those of the words are shuffled; no strings are made of long words; the same text is searched once."""
+    data = [(0, "red apple", "a"), (1, "green apple pie", "b"), (2, "x" * 6000 + " apple", "b"), (3, "blue pie", "a"), (4, "apple pie " * 3, "b"), (5, "", None)]
+    built = SearchTables.build(spark.createDataFrame(data, "doc_id long, t string, kind string"), [Field("t")], "doc_id")
+    plan = built.postings.filter(F.col("term").isin("apple"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter") < plan.index("Generate")
+    assert not built.postings.storageLevel.useDisk and not built.docs.storageLevel.useDisk
+    assert {d for d, _ in top(spark, built, "aplpe")} == {0, 1, 2, 4}
+    assert built.near({"aple": 1}) == {"aple": [("apple", 1, 4)]} == built.near({"aple": 1, **{f"zq{i}zz": 1 for i in range(10)}})
+    batch = spark.createDataFrame([(3, "pie"), (4, "apple"), (9, "pie"), (11, None)], "query_id long, text string")
+    got = [(r.query_id, r.rank, r.doc_id) for r in built.search(batch, 2).orderBy("query_id", "rank").collect()]
+    assert [x[1:] for x in got if x[0] == 3] == [x[1:] for x in got if x[0] == 9] and len(got) == 6
+    built.write(f"{tmp_path}/t")
+    loaded = SearchTables.load(spark, f"{tmp_path}/t")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(built.learned("kind")) == rows(loaded.learned("kind")) and rows(built.terms) == rows(loaded.terms)
+
+
+def test_highlight_equals_spans():
+    texts = ["Apple äpple APPLE", "ΣΑΣ apple", "İ apple", "a\u0301pple apple", "", "1,5 l apple", "pineapple"]
+    for t in texts:
+        for terms in ({"apple"}, {"1500ml"}, {"l", "apple"}, set()):
+            assert highlight(t, terms) == [(a, b) for w, a, b in query.spans(t) if w in terms]
+            assert "".join(x for c in t for x in ("" if "\u0300" <= c <= "\u036f" else query.fold(c))) == query.fold_with_origin(t)[0]
+
+
 def test_group_codes_of_many_ranges(spark):
     """Codes are right whatever partitions the ranges get, with coalescing on and off."""
     rows = spark.range(300_000, numPartitions=7).select((F.col("id") * 7919 % 300_000).alias("k"), F.col("id").alias("row_id"))

@@ -47,7 +47,8 @@ _UNIT = {name: (base, times) for base, kinds in UNITS.items() for names, times i
 
 def fold(text: Column) -> Column:
     """Lower case without the diacritics of the table and without combining marks; null stays null."""
-    return F.lower(F.translate(F.regexp_replace(text, r"[\x{0300}-\x{036F}]", ""), FROM, TO))
+    plain = F.octet_length(text) == F.length(text)  # ASCII has neither
+    return F.when(plain, F.lower(text)).otherwise(F.lower(F.translate(F.regexp_replace(text, r"[\x{0300}-\x{036F}]", ""), FROM, TO)))
 
 
 def quantity(token: Column) -> Column:
@@ -79,7 +80,7 @@ def tokens(text: Column, aliases: dict[str, str] | None = None) -> Column:
     joined = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"(?<=[0-9])[,-](?=[0-9])", ".")
     units = "|".join(sorted(_UNIT, key=len, reverse=True))
     joined = F.regexp_replace(joined, rf"(?<![{ALNUM}])(?<![0-9]\.)([0-9]+(?:\.[0-9]+)?)[^{ALNUM}{EMOJI}]+({units})(?![{ALNUM}])", "$1$2")
-    found = F.regexp_extract_all(joined, F.lit(rf"((?:[{ALNUM}]|(?<=[0-9])\.(?=[0-9]))+|[{EMOJI}])"), F.lit(1))
+    found = F.regexp_extract_all(joined, F.lit(rf"[{ALNUM}]++(?:(?<=[0-9])\.(?=[0-9])[{ALNUM}]++)*+|[{EMOJI}]"), F.lit(0))
     return F.transform(found, lambda t: _canonical(t, aliases))
 
 

@@ -29,6 +29,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def there(df: DataFrame) -> bool:
+    """Whether all files of a table, or of a union of tables, are still there."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(p.getFileSystem(conf).exists(p) for p in paths)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, label: the least id that edges (a, b) lead to from each node (id)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
